@@ -63,20 +63,17 @@ def phrase_search(documents: DataFrame, phrase: Sequence[str]) -> DataFrame:
     """
     wanted = F.array(*[F.lit(w) for w in phrase])
     k = len(phrase)
-    return (
-        documents.select("doc_id", tokens(F.col("text")).alias("t"))
-        .where(F.size("t") >= k)
-        .select(
-            "doc_id",
-            F.size(
-                F.filter(
-                    F.sequence(F.lit(1), F.greatest(F.size("t") - k + 1, F.lit(1))),
-                    lambda i: (F.element_at("t", i) == phrase[0]) & (F.slice("t", i, k) == wanted),
-                )
-            ).alias("n_hits"),
-        )
-        .where("n_hits > 0")
+    # the one-element array binds the token list, so that it is made once and not once per position
+    hits = F.transform(
+        F.array(tokens(F.col("text"))),
+        lambda t: F.size(
+            F.filter(
+                F.sequence(F.lit(1), F.greatest(F.size(t) - k + 1, F.lit(1))),
+                lambda i: (F.try_element_at(t, i) == phrase[0]) & (F.slice(t, i, k) == wanted),
+            )
+        ),
     )
+    return documents.where("text is not null").select("doc_id", F.element_at(hits, 1).alias("n_hits")).where("n_hits > 0")
 
 
 def prefix_search(documents: DataFrame, prefix: str) -> DataFrame:
