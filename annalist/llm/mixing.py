@@ -24,6 +24,8 @@ WORD = r"[^\x20\x09-\x0D]++"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
+# With sizes falling along the order, an offset near one half leaves the least difference from the target.
+SEED = 5
 
 
 def word_count(text: Column) -> Column:
@@ -47,9 +49,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     Sources in name order weigh ``weights``, repeating. A target is its weight
     times a level, or ``cap`` times its source's size where that is less, and
     the level is such that targets add up to ``share`` of all sizes. With the
-    sources by the level at which they reach their cap, the level is known at
-    the first that does not reach it: what the capped ones before leave, over
-    the weights from there on. One row per source is handled here.
+    sources by the level at which they reach their cap, let the first few be
+    capped: what these leave, over the weights of the rest, is a level that
+    rises while the next would still be capped and falls after, so the level
+    looked for is the highest. One row per source is handled here.
     """
     rank = F.row_number().over(Window.orderBy("_mix_key")) - 1
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (rank % len(weights) + 1).cast("int")).cast("long")
@@ -63,13 +66,11 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
         .withColumn("_mix_cap", F.col("_mix_source_size") * cap)
         .withColumn("_mix_ratio", F.col("_mix_cap").cast("double") / F.col("_mix_weight"))
         .withColumn("_mix_level", level)
-        .withColumn("_mix_level", F.min(F.when(F.col("_mix_ratio") > F.col("_mix_level"), F.col("_mix_level"))).over(whole))
+        .withColumn("_mix_level", F.max("_mix_level").over(whole))
         .select(
             "_mix_key",
             "_mix_source_size",
-            F.coalesce(
-                F.least(F.col("_mix_cap").cast("double"), F.col("_mix_weight") * F.col("_mix_level")), F.col("_mix_cap").cast("double")
-            ).alias("_mix_target"),
+            F.least(F.col("_mix_cap").cast("double"), F.col("_mix_weight") * F.col("_mix_level")).alias("_mix_target"),
         )
     )
 
@@ -82,7 +83,7 @@ def _band(size: str) -> str:
 def with_copies(
     documents: DataFrame,
     size: Column,
-    seed: int = 7,
+    seed: int = SEED,
     id_column: str = "doc_id",
     source_column: str = "source",
     weights: Sequence[int] = WEIGHTS,
@@ -136,7 +137,7 @@ def with_copies(
     )
 
 
-def mix(documents: DataFrame, seed: int = 7, text_column: str = "text", **options) -> DataFrame:
+def mix(documents: DataFrame, seed: int = SEED, text_column: str = "text", **options) -> DataFrame:
     """The mixed corpus: each document as often as it is drawn, with the columns of the input."""
     drawn = with_copies(documents, word_count(F.col(text_column)), seed, **options).where("_mix_copies > 0")
     return drawn.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[F.col(f"`{c}`") for c in documents.columns])
@@ -162,11 +163,11 @@ s AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size, CAST([5, 2, 1][CAST((r
 r AS (SELECT *, CAST(2 * source_size AS DOUBLE) / w AS ratio FROM s),
 c AS (SELECT *, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER (ORDER BY ratio, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY ratio, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM r),
-l AS (SELECT min(level) AS level FROM c WHERE ratio > level),
-t AS (SELECT k, source_size, coalesce(least(CAST(2 * source_size AS DOUBLE), w * (SELECT level FROM l)), CAST(2 * source_size AS DOUBLE)) AS target FROM r),
+l AS (SELECT max(level) AS level FROM c),
+t AS (SELECT k, source_size, least(CAST(2 * source_size AS DOUBLE), w * (SELECT level FROM l)) AS target FROM r),
 b AS (SELECT doc_id, k, size, CASE WHEN size < 64 THEN size ELSE (length(bin(size)) - 1) * 64 + (size >> CAST(length(bin(size)) - 7 AS INT)) - 384 END AS band FROM d),
 p AS (SELECT doc_id, size, k, row_number() OVER (PARTITION BY k ORDER BY band DESC, coalesce(md5(CAST(doc_id AS VARCHAR)), ''), doc_id, size) AS place FROM b),
 x AS (SELECT p.doc_id, p.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate, place FROM p JOIN t USING (k)),
-y AS (SELECT *, CAST(floor({offset_of(7)!r}::DOUBLE + rate * place) - floor({offset_of(7)!r}::DOUBLE + rate * (place - 1)) AS BIGINT) AS copies FROM x)
+y AS (SELECT *, CAST(floor({offset_of(SEED)!r}::DOUBLE + rate * place) - floor({offset_of(SEED)!r}::DOUBLE + rate * (place - 1)) AS BIGINT) AS copies FROM x)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM y
 """
