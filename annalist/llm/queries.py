@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from annalist.llm import mixing, url_reputation
+from annalist.llm import mixing, pii, url_reputation
 
 QUERIES = {
     "op1_mixing": mixing.op1,
+    "op2_pii": pii.op2,
     "op8_url_reputation": url_reputation.op8,
 }
 

@@ -1,0 +1,80 @@
+import hashlib
+import re
+
+import pyarrow.parquet as pq
+
+from annalist.llm import pii
+from annalist.llm.queries import QUERIES
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        n = int(d) * (1 + i % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+def brute(text):
+    text = text or ""
+    found = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 13 <= len(d) <= 19 and luhn(d):
+            found.append(("card", m))
+    found += [("phone", m) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return [f"{k}:{m.start()}:{m.end()}" for k, m in found]
+
+
+EDGES = [
+    None, "", " ", "a@b.c_d@e.f", "a@b a@b.c. x@y.z@w.v", "é😀 a.b@c.de", "1.2.3.4.5.6.7.8", "256.1.1.1 1.1.1.1 001.002.003.0255", "4111 1111-1111 1111",
+    "4111111111111112", "+1 (913) 555-3797 +12 +1..........2 +123456789012345678", "++1 234 567 89", "1" * 5000, "a" * 50000, "x@" * 3000, "a@b.c " * 700, "1.2.3.4 " * 600,
+    'token = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e" ok', "a@b.co\n\tc@d.ef", "0000000000000", "1.1.1.99999999999999999999 9.9.9.9",
+]
+
+
+def test_base_spans_equal_plain_patterns(spark):
+    rows = [(i, t, "x", "y") for i, t in enumerate(EDGES + EDGES[:3])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, pii_x string, start string")
+    got = {r.doc_id: r for r in pii.detect(df).collect()}
+    assert len(got) == len(rows)
+    for i, t, *_ in rows:
+        assert [f"{s.kind}:{s.start}:{s.end}" for s in got[i].pii_base] == brute(t), t
+    redacted = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert redacted[0] is None and redacted[1] == "" and redacted[3] == "<EMAIL><EMAIL>"
+    assert redacted[5] == "é😀 <EMAIL>" and redacted[6] == "<IP>.<IP>"
+    assert pii.redact(df).columns == df.columns
+
+
+def test_query_on_all_documents(spark):
+    sf_dir = "/root/testdata/sf0.01"  # the smallest table with secrets
+    texts = dict(zip(*pq.read_table(f"{sf_dir}/documents.parquet", columns=["doc_id", "text"]).to_pydict().values()))
+    rows = QUERIES["op2_pii"](spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    secrets = 0
+    for r in rows:
+        base = brute(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert spans[: len(base)] == base
+        for s in spans[len(base) :]:
+            kind, a, b = s.split(":")
+            assert kind == "secret" and re.fullmatch("[0-9a-f]{40}", texts[r.doc_id][int(a) : int(b)])
+        secrets += len(spans) - len(base)
+        for kind in ("email", "ip", "card", "phone"):
+            assert getattr(r, f"n_{kind}") == sum(x.startswith(kind) for x in base)
+    planted = sum(len(re.findall(r'token = "[0-9a-f]{40}"', t or "")) for t in texts.values())
+    assert secrets == planted > 0
+
+
+def test_reliabilities():
+    good = {(1, 1, 1, 1): 50, (-1, -1, -1, -1): 100, (0, 1, 1, -1): 5, (1, -1, 1, 1): 4}
+    share, tables, posterior = pii.vote_reliabilities(good)
+    assert posterior[1, 1, 1, 1] > 0.99 and posterior[-1, -1, -1, -1] < 0.01 and 0.3 < share < 0.45
+    assert all(t[1, 1] > t[0, 1] for t in tables)
+
+
+def test_empty(spark):
+    df = spark.createDataFrame([], "doc_id bigint, text string, n_chars bigint")
+    assert pii.detect(df).collect() == [] and pii.redact(df).collect() == []
