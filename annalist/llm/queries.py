@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from annalist.llm import mixing, pii, token_counts, url_reputation
+from annalist.llm import mixing, packing, pii, token_counts, url_reputation
 
 QUERIES = {
     "op1_mixing": mixing.op1,
     "op2_pii": pii.op2,
+    "op4_packing": packing.op4,
     "op5_token_counts": token_counts.op5,
     "op8_url_reputation": url_reputation.op8,
 }
