@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from annalist.llm import language_id, mixing, packing, pii, token_counts, url_reputation
+from annalist.llm import language_id, media_ts, mixing, packing, pii, token_counts, url_reputation
 
 QUERIES = {
     "op1_mixing": mixing.op1,
     "op2_pii": pii.op2,
+    "op3_media_ts": media_ts.op3,
     "op4_packing": packing.op4,
     "op5_token_counts": token_counts.op5,
     "op8_url_reputation": url_reputation.op8,
