@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from annalist.llm import language_id, media_ts, minhash_dedup, mixing, packing, pii, token_counts, url_reputation
+from annalist.llm import embedding_dedup, language_id, media_ts, minhash_dedup, mixing, packing, pii, token_counts, url_reputation
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_counts": token_counts.op5,
     "op7_minhash_dedup": minhash_dedup.op7,
     "op8_url_reputation": url_reputation.op8,
+    "op9_embedding_dedup": embedding_dedup.op9,
     "op10_language_id": language_id.op10,
 }
 
