@@ -10,7 +10,7 @@ their similarity, with concentration as of independent samples.
 2. Sketches are cut into bands. Classes that share a band are linked to the
    least of the band, without a look at their sets. Components of these links
    hold every true link, but for the chance that a pair at the threshold agrees
-   in no band: with 25 bands of 5 bins and similarity 0.85, 4 in 10 million.
+   in no band, which is at most ``MISS``: at 0.85, 25 bands of 5 bins.
 3. Within a component all pairs are compared on full sets, by counting shared
    shingles in a matrix product. Components beyond a block's size are split
    into blocks, and each pair of blocks is compared where its rows are sent:
@@ -38,7 +38,7 @@ from annalist.llm.tokens import batches_by_bytes
 from annalist.session import default_partitions, materialize
 
 BINS = 128
-BANDS, BAND_BINS = 25, 5
+MISS = 1e-6
 BATCH_BYTES = 1 << 20
 #: A block's classes and shingles.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 21
@@ -80,7 +80,14 @@ def sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     return out
 
 
-def band_keys(sketch: np.ndarray, bands: int = BANDS, width: int = BAND_BINS) -> np.ndarray:
+def band_width(percent: int, bins: int = BINS, miss: float = MISS) -> int:
+    """The widest bands that miss a pair at the threshold with at most ``miss``."""
+    p = percent / 100
+    return max([w for w in range(1, bins + 1) if (1 - p**w) ** (bins // w) <= miss], default=1)
+
+
+def band_keys(sketch: np.ndarray, width: int) -> np.ndarray:
+    bands = sketch.shape[1] // width
     out = np.empty((len(sketch), bands), np.uint64)
     for b in range(bands):
         key = np.full(len(sketch), b, np.uint64)
@@ -94,7 +101,7 @@ def _texts(batch, a: int, b: int) -> list[bytes]:
     return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text").slice(a, b - a)]
 
 
-def _classes(documents: DataFrame, size: int) -> DataFrame:
+def _classes(documents: DataFrame, size: int, width: int) -> DataFrame:
     """id, cls (hash of the shingle set), n, bands of each document."""
     kind = documents.schema["id"].dataType.simpleString()
 
@@ -107,7 +114,7 @@ def _classes(documents: DataFrame, size: int) -> DataFrame:
             for a, b in batches_by_bytes(sizes, BATCH_BYTES):
                 sets = shingle_sets(_texts(batch, a, b), size)
                 some = [i for i, s in enumerate(sets) if len(s)]
-                keys = band_keys(sketches([sets[i] for i in some])).astype("<u8")
+                keys = band_keys(sketches([sets[i] for i in some]), width).astype("<u8")
                 bands: list = [None] * len(sets)
                 for k, i in enumerate(some):
                     bands[i] = keys[k].view(np.int64).tolist()
@@ -231,7 +238,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, shingle: int = 3, i
     """
     spark = documents.sparkSession
     slim = documents.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
-    marked = materialize(_classes(slim, shingle), "classes")
+    marked = materialize(_classes(slim, shingle, band_width(percent)), "classes")
     classes = marked.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(classes, "distinct")
     banded = classes.select("cls", F.explode("bands").alias("band"))

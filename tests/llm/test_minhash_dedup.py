@@ -90,3 +90,10 @@ def test_sketches_estimate_similarity():
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert m.near_duplicates(df).collect() == []
+
+
+def test_bands_catch_pairs_at_the_threshold():
+    assert m.band_width(85) == 5 and m.band_width(80) == 4
+    for percent in (70, 80, 85, 90, 95):
+        w = m.band_width(percent)
+        assert (1 - (percent / 100) ** w) ** (m.BINS // w) <= m.MISS
