@@ -30,7 +30,7 @@ def read_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """Path, length, modification time, sha256 and sniffed kind of each file."""
+    """Path, length, modification time, sha256 and sniffed kind of each file; empty files are skipped by Spark's scan."""
     return read_files(spark, folder, glob).select(
         "path",
         F.col("length").alias("n_bytes"),
