@@ -47,7 +47,19 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._annalist_path = path
+    return written
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete materialized frames that nothing reads any more; other frames are left alone."""
+    for frame in frames:
+        path = getattr(frame, "_annalist_path", None)
+        if path:
+            jvm, context = frame.sparkSession._jvm, frame.sparkSession._jsc
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context.hadoopConfiguration()).delete(place, True)
 
 
 def default_partitions(spark: SparkSession) -> int:
