@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm.graph import connected_components
-from annalist.session import default_partitions, materialize
+from annalist.session import default_partitions, discard, materialize
 
 PROJECTIONS, SEED = 40, 11
 COSINE = 0.9
@@ -155,9 +155,10 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, id_column: st
     rows = embeddings.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{vector_column}`").cast("array<float>").alias("embedding")).select(
         "id", "embedding", F.when(F.coalesce(finite, F.lit(False)), F.md5(F.array_join(F.col("embedding").cast("array<string>"), ",").cast("binary"))).alias("cls")
     )
-    classes = materialize(
+    vectors = materialize(
         rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")), "vectors"
-    ).withColumn("dimension", F.size("embedding"))
+    )
+    classes = vectors.withColumn("dimension", F.size("embedding"))
     sizes = classes.groupBy("dimension").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = (
         classes.join(sizes, "dimension")
@@ -183,6 +184,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, id_column: st
         .select("cls", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "own").alias("component_id")),
         "named",
     )
+    discard(vectors, found)
     return rows.select("id", "cls").join(by_class, "cls", "left").select(
         F.col("id").alias(id_column),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.session import materialize
+from annalist.session import discard, materialize
 
 MOST_ROUNDS = 60
 
@@ -32,9 +32,10 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         # small star: each smaller neighbour of u, and u, to the least smaller neighbour
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(small, "u")
-        now = materialize(
+        before, now = now, materialize(
             linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).distinct(), name
         )
+        discard(before)
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == state:
             break

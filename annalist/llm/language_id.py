@@ -184,7 +184,7 @@ def train(documents: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id",
     return Trees(languages, counts)
 
 
-def predict(documents: DataFrame, trees: Trees, text_column: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
+def predict(documents: DataFrame, trees: Trees, text_column: str = "text", label: str = "lang_pred", score: str = "score", bits: str = "bits_per_byte") -> DataFrame:
     """The documents with predicted language, its posterior under even priors, and bits per byte.
 
     Narrow; the trees are broadcast and no larger than ``TABLE_BYTES`` and their links.
@@ -194,7 +194,7 @@ def predict(documents: DataFrame, trees: Trees, text_column: str = "text", label
     text = F.col(f"`{text_column}`")
     marked = documents.withColumn("_lid_letter", F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
     names = list(documents.columns)
-    schema = T.StructType(list(documents.schema.fields)).add(label, "string").add(score, "double").add("bits_per_byte", "double")
+    schema = T.StructType(list(documents.schema.fields)).add(label, "string").add(score, "double").add(bits, "double")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -207,7 +207,7 @@ def predict(documents: DataFrame, trees: Trees, text_column: str = "text", label
             texts = batch.column(names.index(text_column))
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             letter = batch.column(len(names)).to_pylist()
-            labels, scores, bits = [], [], []
+            labels, scores, rates = [], [], []
             for a, b in batches_by_bytes(sizes, BATCH_BYTES):
                 own = [i for i in range(a, b) if letter[i] and model.languages]
                 part = (([UNKNOWN] * (b - a)), [0.0] * (b - a), [0.0] * (b - a))
@@ -223,10 +223,10 @@ def predict(documents: DataFrame, trees: Trees, text_column: str = "text", label
                         part[2][i - a] = round(float(least[k]) / np.log(2) / len(data[k]), 4)
                 labels += part[0]
                 scores += part[1]
-                bits += part[2]
+                rates += part[2]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(names)], pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())],
-                names=[*names, label, score, "bits_per_byte"],
+                [*batch.columns[: len(names)], pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
+                names=[*names, label, score, bits],
             )
 
     return marked.mapInArrow(run, schema)
@@ -238,7 +238,7 @@ def keep_identified(documents: DataFrame, trees: Trees | None = None, least_scor
     What goes: text that is null or has no letter, and text whose best language is less likely than ``least_score``.
     """
     trees = trees or train(documents)
-    judged = predict(documents, trees, label="_lid_pred", score="_lid_score")
+    judged = predict(documents, trees, label="_lid_pred", score="_lid_score", bits="_lid_bits")
     return judged.where((F.col("_lid_pred") != UNKNOWN) & (F.col("_lid_score") >= least_score)).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 

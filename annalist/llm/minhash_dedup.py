@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from annalist.llm import words
 from annalist.llm.graph import connected_components
 from annalist.llm.tokens import batches_by_bytes
-from annalist.session import default_partitions, materialize
+from annalist.session import default_partitions, discard, materialize
 
 BINS = 128
 MISS = 1e-6
@@ -268,6 +268,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, shingle: int = 3, i
     named = least.join(least.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("cls", "component_id")
     alone = classes.select("cls", F.col("id").alias("own"))
     by_class = materialize(alone.join(named, "cls", "left").select("cls", F.coalesce("component_id", "own").alias("component_id")), "named")
+    discard(classes, members)
     return marked.join(by_class, "cls", "left").select(
         F.col("id").alias(id_column),
         F.col("n").alias("n_shingles"),

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from annalist.llm import words
 from annalist.llm.tokens import batches_by_bytes
-from annalist.session import materialize
+from annalist.session import discard, materialize
 
 WINDOW, ANCHOR = 13, 5
 BATCH_BYTES = 1 << 20
@@ -269,11 +269,13 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column:
     repeated = materialize(anchors.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("anchor"), "anchors")
     wanted = materialize(anchors.join(repeated, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "wanted")
     candidates = materialize(slim.join(wanted, "id"), "candidates")
+    discard(repeated, wanted)
     windows = _windows(candidates)
     first = materialize(windows.groupBy("hi", "lo").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("hi", "lo", "least"), "windows")
     gone = materialize(
         windows.join(first, ["hi", "lo"]).where("id > least").groupBy("id").agg(F.collect_set("hi").alias("gone")), "gone"
     )
+    discard(candidates, first)
     return _kept(slim.join(gone, "id", "left"), keep_text).withColumnRenamed("id", id_column)
 
 
