@@ -26,7 +26,7 @@ QUERIES = {
     "s3_vocabulary": _docs(search.vocabulary),
     "s4_boolean_search": _docs(search.boolean_search, ["that"], ["ering"]),
     "s5_phrase_search": _docs(search.phrase_search, ["of", "the"]),
-    "s6_prefix_search": _docs(search.prefix_search, "mun"),
+    "s6_prefix_search": _docs(search.prefix_search, "therh"),
     "s7_ranked_search": _docs(search.ranked_search, ["the", "ering", "that"]),
     "s8_keyword_in_context": _docs(search.keyword_in_context, "that"),
     "s9_facets": _docs(search.facets, "that"),

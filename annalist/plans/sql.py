@@ -43,7 +43,7 @@ SQL = {
     "s4_boolean_search": f"WITH {_TOKENS} SELECT doc_id FROM t WHERE list_contains(t, 'that') AND NOT list_contains(t, 'ering')",
     "s5_phrase_search": f"""WITH {_TOKENS} SELECT a.doc_id, CAST(count(*) AS INT) AS n_hits FROM tok a JOIN tok b
         ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.tok = 'of' AND b.tok = 'the' GROUP BY a.doc_id""",
-    "s6_prefix_search": f"WITH {_TOKENS} SELECT DISTINCT doc_id, tok FROM tok WHERE tok LIKE 'mun%'",
+    "s6_prefix_search": f"WITH {_TOKENS} SELECT DISTINCT doc_id, tok FROM tok WHERE tok LIKE 'therh%'",
     "s7_ranked_search": f"""WITH {_TOKENS}, dl AS (SELECT doc_id, len(t) AS dl FROM t), stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl FROM dl),
         tf AS (SELECT doc_id, tok, CAST(count(*) AS DOUBLE) AS tf FROM tok WHERE tok IN ('the', 'ering', 'that') GROUP BY doc_id, tok),
         df AS (SELECT tok, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY tok)
