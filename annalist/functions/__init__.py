@@ -1,3 +1,3 @@
-from annalist.functions.text import char_bigrams, html_text, removals, tokens
+from annalist.functions.text import html_text, removals, tokens
 
-__all__ = ["char_bigrams", "html_text", "removals", "tokens"]
+__all__ = ["html_text", "removals", "tokens"]

@@ -27,15 +27,6 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"[ \t\r\n]+", " "))
 
 
-def char_bigrams(text: Column) -> Column:
-    """Overlapping pairs of characters; none for texts under two characters."""
-    n = F.length(text)
-    return F.when(
-        n >= 2,
-        F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2))),
-    ).otherwise(F.array().cast("array<string>"))
-
-
 def removals(word: Column) -> Column:
     """(at, rest) for each character left out of a word, by position from 1."""
     return F.transform(

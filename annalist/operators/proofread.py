@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from annalist.functions.text import matches, removals, tokens
 
 REPEATED_PUNCTUATION = r"[!?.,;:]{2,}"
-DIGIT_IN_WORD = r"\p{L}+\p{N}+\p{L}+"
+# letters from the start of their run, so that a word is tried once and not from each of its letters
+DIGIT_IN_WORD = r"(?<!\p{L})\p{L}++\p{N}++\p{L}++"
 LOWER_AFTER_STOP = r"[.!?] \p{Ll}"
 
 

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.functions.text import char_bigrams, tokens
+from annalist.functions.text import tokens
+from annalist.session import materialize
 
 
 def tokenize(documents: DataFrame) -> DataFrame:
@@ -85,18 +86,19 @@ def prefix_search(documents: DataFrame, prefix: str) -> DataFrame:
 def ranked_search(documents: DataFrame, terms: Sequence[str], k1: float = 1.2, b: float = 0.75, limit: int = 20) -> DataFrame:
     """BM25, best ``limit`` documents by score, then doc_id.
 
-    Term frequencies come from one pass over the token lists. The corpus
-    statistics are one row, so its cross join broadcasts a single row.
+    Term frequencies are counted inside the token lists, without a shuffle. The
+    corpus statistics are one row, so the cross join broadcasts a single row.
     """
     names = [f"tf{i}" for i in range(len(terms))]
-    found = lambda term: F.filter(tokens(F.col("text")), lambda w: w == F.lit(term))
-    counted = documents.select(
-        "doc_id",
-        F.size(F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))).alias("dl"),
-        *[
-            F.coalesce(F.size(found(t)), F.lit(0)).alias(n)
-            for t, n in zip(terms, names, strict=True)
-        ],
+    found = lambda t, term: F.size(F.filter(t, lambda w: w == F.lit(term)))
+    bound = F.array(F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")))
+    # one row per document out of a generator: the token list is made once, and no filter is moved below it;
+    # counts go to the shared folder, as they are read twice and the texts should be read once
+    counted = materialize(
+        documents.select(
+            "doc_id", F.inline(F.transform(bound, lambda t: F.struct(F.size(t).alias("dl"), *[found(t, w).alias(n) for w, n in zip(terms, names, strict=True)])))
+        ),
+        "counted",
     )
     stats = counted.agg(
         F.count("*").cast("double").alias("n"),
@@ -137,8 +139,8 @@ def facets(documents: DataFrame, term: str) -> DataFrame:
 
 def bigram_index(documents: DataFrame) -> DataFrame:
     """Document frequency of overlapping character pairs, letters only, for text without word spaces."""
-    runs = F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"\p{L}+"), F.lit(0))
-    grams = F.array_distinct(F.flatten(F.transform(runs, char_bigrams)))
+    # a look-ahead takes no characters, so the pairs overlap
+    grams = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"(?=(\p{L}{2}))"), F.lit(1)))
     return documents.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
 
 
