@@ -35,6 +35,29 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it is visible Latin-1, else the next from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, spare = {}, 256
+    for b in range(256):
+        out[b] = chr(b) if b in shown else chr(spare)
+        spare += b not in shown
+    return [out[b] for b in range(256)]
+
+
+_LETTERS = str.maketrans(dict(enumerate(_byte_letters())))
+
+
+def written(word: str) -> str:
+    """A word as byte-level vocabularies write it."""
+    return word.encode().decode("latin-1").translate(_LETTERS)
+
+
+def one_word(piece: str) -> bool:
+    """Whether a piece is one run of Latin letters, which the pre-tokenizers leave whole and normalisation as it is."""
+    return piece.isalpha() and (piece.isascii() or max(piece) < "ɐ")
+
+
 class ByteLevelCounter:
     """Token counts of a byte-level BPE whose pre-tokenizer lets one space lead a word.
 
@@ -49,6 +72,7 @@ class ByteLevelCounter:
 
     def __init__(self, path: str, cache: int = CACHE):
         self.tokenizer, self.limit = load(path), cache
+        self.merge = self.tokenizer.model.tokenize
         self.after: dict[str, int] = {}
         self.first: dict[str, int] = {}
 
@@ -82,7 +106,10 @@ class ByteLevelCounter:
         extra: dict[str, int] = {}
         safe = []
         for p in unseen:
-            if self._safe(p):
+            if one_word(p):
+                # straight to the merges: a space leads the word, which is one pre-token
+                (extra if len(p) > LONGEST else self.after)[p] = len(self.merge("Ġ" + (p if p.isascii() else written(p))))
+            elif self._safe(p):
                 safe.append(p)
             else:
                 extra[p] = unsafe
@@ -108,6 +135,7 @@ class WordEncoder:
 
     def __init__(self, path: str, cache: int = CACHE):
         self.tokenizer, self.limit = load(path), cache
+        self.merge = self.tokenizer.model.tokenize
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.known: dict[str, bytes] = {"": b""}
 
@@ -136,9 +164,15 @@ class WordEncoder:
         split = [self._pieces(t) for t in texts]
         unseen = set().union(*split)
         unseen = list(unseen.difference(self.known) if len(unseen) < len(self.known) else unseen - self.known.keys())
-        ids = self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False)
-        extra = {}
-        for p, e in zip(unseen, ids, strict=True):
+        extra, rest = {}, []
+        for p in unseen:
+            if one_word(p) and p.islower():
+                # straight to the merges: one pre-token that normalisation leaves as it is
+                ids = [t.id for t in self.merge(p if p.isascii() else written(p))]
+                (extra if len(p) > LONGEST else self.known)[p] = array.array(kind, ids).tobytes()
+            else:
+                rest.append(p)
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             (extra if len(p) > LONGEST else self.known)[p] = array.array(kind, e.ids).tobytes()
         if not extra:
             return [b"".join(map(self.known.__getitem__, s)) for s in split]

@@ -8,7 +8,7 @@ from annalist.llm.queries import QUERIES
 EDGES = [
     None, "", " ", "  ", "\n", "\n\n", "\n\n\n a", "a\nb", "a\n\nb", "a \n b", "a  b", "a   b ", " a", "\na", "a\n", "x 's 'S don't DON'T", "İstanbul ΣΑΣ ΟΔΟΣ. é", "é a ́b",
     "<|endoftext|>", "a <|endoftext|> b", "a\n <|endoftext|>  b", "<|ENDOFTEXT|> x", "a.b, c., d.), e). f g h\x85i\x1cj", "1,234. 5 ,6 x_, y×, z÷.", "\x00a\x00 b", "漢字 かな 🙂🙂 ok",
-    "tab\tx\t\ty", "z" * 3000, "long" * 40 + " " + "w" * 100, "a\r\nb", "... ,,, ?!. x", "\x00", "word\x00 \x00word",
+    "tab\tx\t\ty", "z" * 3000, "long" * 40 + " " + "w" * 100, "a\r\nb", "... ,,, ?!. x", "\x00", "word\x00 \x00word", "élève Über straße ÀÉ ŉa ǰ ªº ß ẞ ʼn ǅ İİ ıI µ ſ", " ".join(chr(c) + "x" for c in range(0x80, 0x250)), " ".join("a" + chr(c) for c in range(0x80, 0x250)),
 ]
 
 
