@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annalist.session import materialize
+
 WORD = r"[^\x20\x09-\x0D]++"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -110,7 +112,8 @@ def with_copies(
         .withColumn("_mix_h2", F.substring("_mix_hash", 1, 6))
     )
     part = ["_mix_key", "_mix_band", "_mix_h1", "_mix_h2"]
-    counts = rows.groupBy(*part).agg(F.count("*").alias("_mix_n"), F.sum("_mix_size").alias("_mix_words"))
+    # four steps start from these counts: written once, they read the texts once
+    counts = materialize(rows.groupBy(*part).agg(F.count("*").alias("_mix_n"), F.sum("_mix_size").alias("_mix_words")), "mix-counts")
 
     def before(column: str, *within: str, by: Column) -> Column:
         w = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
@@ -146,7 +149,7 @@ def mix(documents: DataFrame, seed: int = SEED, text_column: str = "text", **opt
 def op1(spark, sf_dir: str) -> DataFrame:
     from annalist.sources.tables import table
 
-    slim = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    slim = materialize(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     return with_copies(slim, F.col("size")).select(
         "doc_id",
         "size",
