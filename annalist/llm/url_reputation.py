@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist.session import materialize
+
 # Fixed values: (verdict, host, path) of the rules.
 RULES = (
     ("allow", "com", "/"),
@@ -101,6 +103,8 @@ def judge(
     counts = pages.join(outcome, "page_id", "left").groupBy("host").agg(
         F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("x")
     )
+    # every level of the shrinkage starts from these counts: written once, pages and labels are read once for them
+    counts = materialize(counts, "hosts")
     rule, said = matching_rule(F.col("host"), F.col("path"), rules)
     return pages.join(host_reputation(counts, z), "host").select(
         "page_id",
