@@ -15,8 +15,9 @@ import os
 import re
 from collections.abc import Iterable
 
-#: Entries of a worker's cache, some 100 bytes each; when it is full it starts anew.
-CACHE = 1_000_000
+#: Entries of a worker's cache, some 200 bytes each. It has two generations: when the young one
+#: holds half of these, it becomes the old one, and what is still used moves to the next.
+CACHE = 700_000
 #: Longer pieces are encoded each time, so that a cache entry is bounded.
 LONGEST = 48
 SPECIAL = "<|"
@@ -74,7 +75,7 @@ class ByteLevelCounter:
         self.tokenizer, self.limit = load(path), cache
         self.merge = self.tokenizer.model.tokenize
         self.after: dict[str, int] = {}
-        self.first: dict[str, int] = {}
+        self.old: dict[str, int] = {}
 
     def _encode(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -93,8 +94,8 @@ class ByteLevelCounter:
 
     def counts(self, texts: Iterable[str]) -> list[int]:
         out, plans, unseen, unsafe = [], [], set(), -(1 << 60)
-        if len(self.after) > self.limit:
-            self.after = {}
+        if len(self.after) > self.limit // 2:
+            self.after, self.old = {}, self.after
         for text in texts:
             if not text or "\x00" in text:
                 plans.append(None)
@@ -106,7 +107,9 @@ class ByteLevelCounter:
         extra: dict[str, int] = {}
         safe = []
         for p in unseen:
-            if one_word(p):
+            if p in self.old:
+                self.after[p] = self.old[p]
+            elif one_word(p):
                 # straight to the merges: a space leads the word, which is one pre-token
                 (extra if len(p) > LONGEST else self.after)[p] = len(self.merge("Ġ" + (p if p.isascii() else written(p))))
             elif self._safe(p):
@@ -138,6 +141,7 @@ class WordEncoder:
         self.merge = self.tokenizer.model.tokenize
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
     # Not Latin; and a comma or stop before a space that ends a longer run of marks.
     _other = re.compile(r"[^\x00-ɏ]|<\|")
@@ -159,14 +163,16 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian bytes, of two bytes an id, or four for large vocabularies."""
         kind = "I" if self.wide else "H"
-        if len(self.known) > self.limit:
-            self.known = {"": b""}
+        if len(self.known) > self.limit // 2:
+            self.known, self.old = {"": b""}, self.known
         split = [self._pieces(t) for t in texts]
         unseen = set().union(*split)
         unseen = list(unseen.difference(self.known) if len(unseen) < len(self.known) else unseen - self.known.keys())
         extra, rest = {}, []
         for p in unseen:
-            if one_word(p) and p.islower():
+            if p in self.old:
+                self.known[p] = self.old[p]
+            elif one_word(p) and p.islower():
                 # straight to the merges: one pre-token that normalisation leaves as it is
                 ids = [t.id for t in self.merge(p if p.isascii() else written(p))]
                 (extra if len(p) > LONGEST else self.known)[p] = array.array(kind, ids).tobytes()
