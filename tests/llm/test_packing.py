@@ -83,5 +83,61 @@ def test_more_sources_than_queues(spark, monkeypatch):
     check(packing.pack(spark.createDataFrame(rows, SCHEMA), vocabulary, sequence=64, window=128), rows, vocabulary, 64)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 300), min_size=1, max_size=9), st.integers(1, 70))
+def test_mirror(sizes, window):
+    total = sum(sizes)
+    mirror, places, owner = packing.Mirror(total, window), [], {}
+    for q, n in enumerate(sizes):
+        own = []
+        for at in range(0, n, 7):
+            done = 0
+            for begin, length, place in mirror.stretches(sum(sizes[:q]), n, at, min(7, n - at)):
+                assert begin == done and length > 0
+                done += length
+                own += range(place, place + length)
+        assert own == sorted(own)
+        owner |= dict.fromkeys(own, q)
+        places += own
+    assert sorted(places) == list(range(total))
+    for at in range(0, total, window):
+        held = [owner[x] for x in range(at, min(at + window, total))]
+        assert all(abs(held.count(q) - len(held) * n / total) < 2 for q, n in enumerate(sizes))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 90), st.integers(1, 9), st.sampled_from([0.0, 0.5, 1.0, 7.0])), min_size=1, max_size=5), st.integers(1, 70))
+def test_members_of_classes(classes, window):
+    robin = packing.RoundRobin([n * m for n, m, _ in classes], [r * m for _, m, r in classes], window)
+    places = []
+    for c, (n, m, _) in enumerate(classes):
+        for i in range(m):
+            own = [place + x for at in range(0, n, 7) for _, length, place in robin.stretches(c, at, min(7, n - at), i, m) for x in range(length)]
+            assert own == sorted(own)
+            places += own
+    assert sorted(places) == list(range(sum(n * m for n, m, _ in classes)))
+
+
+@pytest.mark.parametrize("targets", [None, {"s3": 400.0, None: 100.0}])
+def test_many_sources_keep_their_targets(spark, targets):
+    sources, window = 1100, 9 * 512
+    names = [f"s{i}" if i else None for i in range(sources)]
+    rows = [(i, "word " * (3000 if i in (0, 3) else 9), names[i], 1, "") for i in range(sources)]
+    vocabulary = tokens.vocabulary_path("word_bpe_49k.json")
+    df = packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(5), vocabulary, targets, sequence=512, window=window).cache()
+    check(df, rows, vocabulary, 512)
+    sizes, first = defaultdict(int), defaultdict(int)
+    for r in df.collect():
+        sizes[r.doc_id] += r.length
+        at = r.sequence_id * 512 + r.offset
+        first[r.doc_id] += max(0, min(at + r.length, window) - at)
+    weights = {i: targets.get(names[i], 100.0) for i in range(sources)} if targets else sizes
+    assert sum(first.values()) == window
+    # weighted windows end where clocks round, so they can miss one token a source
+    slack = 2 if targets else 1
+    for i, n in sizes.items():
+        assert abs(first[i] - window * weights[i] / sum(weights.values())) <= slack
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), tokens.vocabulary_path("word_bpe_49k.json")).collect() == []
