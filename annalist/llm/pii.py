@@ -4,8 +4,11 @@ Base kinds are found by pattern and checked (address parts, Luhn digit, number
 of digits). On top, candidates for secrets are voted on by a pattern, a
 gazetteer, a context and a shape labeler. Expectation-maximisation over the
 vote patterns estimates how reliable each labeler is, and the posteriors train
-the final span classifier, a naive Bayes over span features. Its spans are
-added; base spans stay, and added ones do not overlap them.
+the final span classifier, a naive Bayes over span features. Added are the
+spans that it scores above zero, and those of a format that only secrets and
+hashes have (``KNOWN``), which count wherever they stand: where a corpus names
+all its secrets, a classifier learns that bare ones are none. Base spans stay,
+and added ones do not overlap them.
 
 Spans come from splitting a text at a pattern: lengths of the pieces between
 and of the finds, summed up, are the positions. Every step is a built-in
@@ -37,7 +40,17 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
-CANDIDATE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{16,}+"
+# Runs of the base64, base64url and JWT alphabets; two dots part them, and "=" is
+# only padding, so that a name and its value are two runs.
+CANDIDATE = (
+    r"(?<![A-Za-z0-9_/+-])(?<![A-Za-z0-9_/+-]\.)(?=[A-Za-z0-9_/+.-]{16})(?=(?:[A-Za-z_/+-]++|\.(?!\.))*+[0-9])"
+    r"[/+]*+[A-Za-z0-9_-]++(?:(?:[/+]++|\.(?!\.))[A-Za-z0-9_-]++)*+[/+]*+(?:={1,2}+(?![\"']?[A-Za-z0-9_/+=-]))?+"
+)
+# Formats that are secrets wherever they stand.
+KNOWN = (
+    r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]*)$"
+    r"|(?:^|[/.+])(?:ghp_[A-Za-z0-9]{16,}|sk-(?:[A-Za-z0-9]+[_-])*[A-Za-z0-9]{16,}|AKIA[A-Z0-9]{12,}|xox[bp]-[A-Za-z0-9-]{10,})"
+)
 
 # Words that name secrets.
 GAZETTEER = ("api", "auth", "bearer", "credential", "key", "passphrase", "passwd", "password", "pwd", "secret", "token")
@@ -59,6 +72,11 @@ def located(text: Column, pattern: str) -> Column:
     Lengths are summed up in blocks, so a text with n finds costs n * (BLOCK + n / BLOCK).
     """
 
+    def before(pair: Column, i: Column) -> Column:
+        """The CONTEXT characters before a find, where two finds and the gap between are as long as that."""
+        last = [(pair["found"], i - 2), (pair["gaps"], i - 1), (pair["found"], i - 1), (pair["gaps"], i)]
+        return F.right(F.concat(*[F.coalesce(F.right(F.get(column, at), F.lit(CONTEXT)), F.lit("")) for column, at in last]), F.lit(CONTEXT))
+
     def placed(pair: Column) -> Column:
         def sums(steps: Column) -> Column:
             n = F.size(steps)
@@ -72,7 +90,7 @@ def located(text: Column, pattern: str) -> Column:
                         + F.aggregate(F.slice(steps, F.shiftright(i, 8) * BLOCK + 1, i % BLOCK), F.lit(0), lambda a, x: a + x)
                         + F.length(F.element_at(pair["gaps"], i + 1)),
                         lambda at: F.struct(
-                            at.alias("start"), (at + F.length(m)).alias("end"), m.alias("found"), F.right(F.element_at(pair["gaps"], i + 1), F.lit(CONTEXT)).alias("before")
+                            at.alias("start"), (at + F.length(m)).alias("end"), m.alias("found"), before(pair, i).alias("before")
                         ),
                     ),
                 ),
@@ -113,9 +131,9 @@ def _spans(kind: str, pieces: Column) -> Column:
 def _votes(found: Column, before: Column) -> dict[str, Column]:
     """Each labeler's vote on a candidate: 1 for, -1 against, 0 for no opinion."""
     named = F.lower(before).rlike("(?:" + "|".join(GAZETTEER) + ")")
-    only_digits = found.rlike(r"^[0-9_-]+$")
+    only_digits = found.rlike(r"^[0-9_/+.=-]+$")
     return {
-        "pattern": F.when(found.rlike(r"^(?:[0-9a-f]{32,}|(?:ghp_|sk-|AKIA|xox[bp]-).*)$"), 1).when(only_digits, -1).otherwise(0),
+        "pattern": F.when(found.rlike(KNOWN), 1).when(only_digits, -1).otherwise(0),
         "gazetteer": F.when(named, 1).otherwise(-1),
         "context": F.when(before.rlike(r"""[=:]\s*["']?$"""), 1).otherwise(-1),
         "shape": F.when(only_digits, -1).when(found.rlike(r"[0-9][A-Za-z]+[0-9]+[A-Za-z]"), 1).otherwise(0),
@@ -167,7 +185,7 @@ def vote_reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = ROUND
 
 
 def _candidates(text: Column) -> Column:
-    return located(text, CANDIDATE)
+    return F.filter(located(text, CANDIDATE), lambda p: F.length(p["found"]) >= 16)
 
 
 def fit(documents: DataFrame, text_column: str = "text") -> dict:
@@ -199,8 +217,7 @@ def _is_secret(found: Column, before: Column, model: dict) -> Column:
     score = F.lit(float(model["intercept"]))
     for k, (feature, values) in _features(found, before).items():
         score = score + F.element_at(F.array(*[F.lit(float(model["weights"][k, x])) for x in range(values)]), feature + 1)
-    named_or_assigned = F.lower(before).rlike("(?:" + "|".join(GAZETTEER) + ")") | before.rlike(r"""[=:]\s*["']?$""")
-    return (score > 0) & named_or_assigned & found.rlike("[A-Za-z]")
+    return (found.rlike(KNOWN) | (score > 0)) & found.rlike("[A-Za-z]")
 
 
 def detect(documents: DataFrame, text_column: str = "text", model: dict | None = None, base_column: str = "pii_base", spans_column: str = "pii_spans") -> DataFrame:
