@@ -53,8 +53,8 @@ from annalist.llm.mixing import source_key
 from annalist.session import materialize
 
 SEQUENCE = 4096
-#: Tokens to a window. Targets hold in each; a document is cut at most where its window or sequence ends.
-WINDOW = 64 * SEQUENCE
+#: Tokens to a window. Targets hold in each, so in each sequence; a document is cut where its source's share of a window ends.
+WINDOW = SEQUENCE
 END_ID = 2
 #: Sources are numbered and summed up in this many buckets by hash, so that no task orders all of them.
 MOST_QUEUES = 1024
@@ -129,9 +129,10 @@ class Mirror:
             (qa, ra), (qb, rb) = divmod(a, full), divmod(b, full)
         done, k = at, -1
         while done < min(end, b - a):
-            k += 1
-            if k == 0 or (qb - qa) * (k + 1) + min(rb, k + 1) - min(ra, k + 1) <= done:
-                low, high = k, full - 1
+            k = k + 1 if k >= 0 else done * full // (b - a)
+            begin = (qb - qa) * k + min(rb, k) - min(ra, k)
+            if not begin <= done < begin + qb - qa + (rb > k) - (ra > k):
+                low, high = 0, full - 1
                 while low < high:
                     mid = (low + high) // 2
                     if (qb - qa) * (mid + 1) + min(rb, mid + 1) - min(ra, mid + 1) > done:
@@ -139,8 +140,8 @@ class Mirror:
                     else:
                         low = mid + 1
                 k = low
-            begin = (qb - qa) * k + min(rb, k) - min(ra, k)
-            stop = min(end, (qb - qa) * (k + 1) + min(rb, k + 1) - min(ra, k + 1))
+                begin = (qb - qa) * k + min(rb, k) - min(ra, k)
+            stop = min(end, begin + qb - qa + (rb > k) - (ra > k))
             yield done - at, stop - done, k * self.window + qa + (ra > k) + done - begin
             done = stop
         if done < end:

@@ -139,5 +139,18 @@ def test_many_sources_keep_their_targets(spark, targets):
         assert abs(first[i] - window * weights[i] / sum(weights.values())) <= slack
 
 
+def test_every_full_sequence_mirrors_the_corpus(spark):
+    rows = [(i, "word " * (50 + i % 700), f"s{i % 7}", 1, "") for i in range(400)]
+    source = {r[0]: r[2] for r in rows}
+    sizes, held = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for r in packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(3), tokens.vocabulary_path("word_bpe_49k.json"), keep_ids=False).collect():
+        sizes[source[r.doc_id]] += r.length
+        held[r.sequence_id][source[r.doc_id]] += r.length
+    full = sum(sizes.values()) // packing.SEQUENCE
+    assert full > 20
+    for k in range(full):
+        assert all(abs(held[k][s] - packing.SEQUENCE * n / sum(sizes.values())) < 2 for s, n in sizes.items())
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), tokens.vocabulary_path("word_bpe_49k.json")).collect() == []
