@@ -47,14 +47,14 @@ COLUMNS = 4096
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text, A-Z lower-cased."""
-    hashes, at, *_ = words.word_hashes([t.translate(words.LOWER) for t in texts])
-    whole = words.runs(hashes, size, seed=size)
+    hashes, at = words.word_hashes([t.translate(words.LOWER) for t in texts])
+    whole, _ = words.runs(hashes, size, seed=size)
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         if b - a >= size:
             out.append(np.unique(whole[a : b - size + 1]))
         elif b > a:
-            out.append(words.runs(hashes[a:b], b - a, seed=b - a))
+            out.append(words.runs(hashes[:, a:b], b - a, seed=b - a)[0])
         else:
             out.append(np.zeros(0, np.uint64))
     return out

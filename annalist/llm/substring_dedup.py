@@ -20,7 +20,8 @@ matching statistics are thresholded exactly through hashes of windows:
    document only is no repeat. Anchors are counted with a map-side combine.
 2. Windows under repeated anchors are hashed to 128 bits, and the least id of
    each is found, again combined before the shuffle.
-3. Each document gets the hashes of its windows that start in a smaller id.
+3. Each document gets the first halves of the hashes of its windows that start
+   in a smaller id; they only tell its own windows apart.
 
 Defined results: null text has no words; texts shorter than a window lose
 nothing; rows that repeat an id are one document to windows, and each is
@@ -160,8 +161,8 @@ def remove_references(
 
 def _anchors(hashes: np.ndarray) -> np.ndarray:
     """The anchor of the window that begins at each word."""
-    runs = words.runs(hashes, ANCHOR, seed=ANCHOR)
-    n = max(0, len(hashes) - WINDOW + 1)
+    runs = words.lane(hashes[0], ANCHOR, seed=ANCHOR)
+    n = max(0, hashes.shape[1] - WINDOW + 1)
     least = runs[:n].copy()
     for i in range(1, WINDOW - ANCHOR + 1):
         np.minimum(least, runs[i : i + n], out=least)
@@ -186,7 +187,7 @@ def _document_anchors(documents: DataFrame) -> DataFrame:
 
         for batch in batches:
             for a, b in _parts(batch):
-                hashes, at, *_ = words.word_hashes(_texts(batch, a, b))
+                hashes, at = words.word_hashes(_texts(batch, a, b))
                 anchors = _anchors(hashes)
                 own = [np.unique(anchors[x : max(x, y - WINDOW + 1)]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
                 rows = np.repeat(np.arange(a, b), [len(o) for o in own])
@@ -207,9 +208,9 @@ def _windows(candidates: DataFrame) -> DataFrame:
             wanted = batch.column("anchors")
             flat, offsets = wanted.values.to_numpy(), wanted.offsets.to_numpy()
             for a, b in _parts(batch):
-                hashes, at, *_ = words.word_hashes(_texts(batch, a, b))
+                hashes, at = words.word_hashes(_texts(batch, a, b))
                 anchors = _anchors(hashes).view(np.int64)
-                his, los = words.runs(hashes, WINDOW, seed=1), words.runs(hashes, WINDOW, seed=2)
+                his, los = words.runs(hashes, WINDOW)
                 hi, lo, rows = [], [], []
                 for i in range(a, b):
                     x, y = int(at[i - a]), int(at[i - a + 1]) - WINDOW + 1
@@ -236,8 +237,8 @@ def _kept(documents: DataFrame, keep_text: bool) -> DataFrame:
             gone = batch.column("gone").to_pylist()
             for a, b in _parts(batch):
                 texts = _texts(batch, a, b)
-                hashes, at, *_ = words.word_hashes(texts)
-                his = words.runs(hashes, WINDOW, seed=1).view(np.int64)
+                hashes, at = words.word_hashes(texts)
+                his = words.runs(hashes, WINDOW)[0].view(np.int64)
                 n_words, removed, digests, kept = [], [], [], []
                 for i, text in enumerate(texts):
                     own, x, y = text.split(), int(at[i]), int(at[i + 1])
