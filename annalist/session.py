@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,31 +30,83 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None, m
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session in one process makes a temporary folder of
+    its own, which goes at exit; on a cluster that is an error, as no other
+    machine would see such a folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="annalist-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own_folders:
+        made = tempfile.mkdtemp(prefix="annalist-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        _own_folders[context.applicationId] = "file://" + made
+    return _own_folders[context.applicationId]
+
+
+_own_folders: dict[str, str] = {}
+
+
+class Scratch:
+    """The tables written while it is the innermost one; see ``scratch``."""
+
+    def __init__(self, outer: Scratch | None):
+        self.outer = outer
+        self.frames: list[DataFrame] = []
+
+    def keep(self, frame: DataFrame) -> DataFrame:
+        """Leave a table to the scope around this one."""
+        self.frames = [f for f in self.frames if f is not frame]
+        if self.outer is not None:
+            self.outer.frames.append(frame)
+        return frame
+
+
+_scope: ContextVar[Scratch | None] = ContextVar("annalist_scratch", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Delete, at the end of the block, all tables that operators wrote in it and nothing has discarded.
+
+    Operators return frames that read what they have written, so only the
+    caller knows when a result has been used. Tables outside of any block are
+    deleted when the application ends.
+    """
+    own = Scratch(_scope.get())
+    token = _scope.set(own)
+    try:
+        yield own
+    finally:
+        _scope.reset(token)
+        discard(*own.frames)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a frame to the shared folder as Parquet and read it back.
 
     Lineage ends here, a lost executor costs no more than its running tasks,
-    and the shuffle files behind the frame go once the write has ended.
+    and the shuffle files behind the frame go once the write has ended: that
+    is a setting of the session, so the write runs in a clone of it and no
+    other query sees it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/annalist/{name}-{uuid.uuid4().hex}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(key, before)
+    session = spark._jsparkSession.cloneSession()
+    session.conf().set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    same = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, df._jdf.queryExecution().analyzed())
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    same.write().option("compression", "zstd").parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written._annalist_path = path
+    if _scope.get() is not None:
+        _scope.get().frames.append(written)
     return written
 
 
@@ -57,9 +115,13 @@ def discard(*frames: DataFrame) -> None:
     for frame in frames:
         path = getattr(frame, "_annalist_path", None)
         if path:
-            jvm, context = frame.sparkSession._jvm, frame.sparkSession._jsc
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(context.hadoopConfiguration()).delete(place, True)
+            place, files = _place(frame.sparkSession, path)
+            files.delete(place, True)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def default_partitions(spark: SparkSession) -> int:
