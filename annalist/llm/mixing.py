@@ -5,11 +5,20 @@ are summed up along it, one random offset is added, and a document is emitted
 once for every integer that its step of the sum crosses. All built-in
 functions; nothing here runs in Python.
 
+Copies are whole, so a few documents that hold much of a source's target can
+miss it by their own size whatever the offset. The order is therefore by
+falling size. The first documents, those larger than ``TOLERANCE`` of the
+target, expect the source's rate of target to size. What they take in fact
+is taken off the target, and the rest expect what is left over their words. So
+the words taken come within about ``TOLERANCE`` of the target wherever the
+rest can make up the difference with none to ``cap`` copies each.
+
 Defined results: a null text counts as empty (size 0); a null source is a
 source of its own, last in order; a source without words has target 0 and is
 not taken; repeated rows are sampled each on its own; an empty table gives an
-empty table. Columns of the input are kept as they are: all working columns
-begin with ``_mix_``.
+empty table. Columns of the input are kept as they are, whatever their names:
+while the operator works they are one struct, and a result column whose name
+the input has already gets a number (``names.free_name``).
 """
 
 from __future__ import annotations
@@ -20,14 +29,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annalist.session import materialize
+from annalist.llm.names import free_name
+from annalist.session import default_partitions, materialize
 
 WORD = r"[^\x20\x09-\x0D]++"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-# With sizes falling along the order, an offset near one half leaves the least difference from the target.
-SEED = 5
+#: Documents above this share of their source's target are drawn first, and the others make up for them.
+TOLERANCE = 1 / 256
+SEED = 2026
 
 
 def word_count(text: Column) -> Column:
@@ -45,8 +56,24 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("0"), source.cast("string")), F.lit("1"))
 
 
+def _sums_before(rows: DataFrame, order: Sequence[str], sums: dict[str, str], name: str) -> DataFrame:
+    """For each row the sums over all rows before it in the order, in two levels, so that no task orders all rows.
+
+    Rows are dealt to ranges of the order and written with the number of their
+    range; sums run inside a range, and over the ranges' totals, of which
+    there are as many as partitions.
+    """
+    dealt = rows.repartitionByRange(max(1, default_partitions(rows.sparkSession)), *order).withColumn("range", F.spark_partition_id())
+    dealt = materialize(dealt, name)
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = dealt.groupBy("range").agg(*[F.sum(c).alias(c) for c in sums.values()])
+    totals = totals.select("range", *[before(Window.orderBy("range"), c).alias(f"base_{out}") for out, c in sums.items()])
+    inside = Window.partitionBy("range").orderBy(*order)
+    return dealt.join(totals, "range").select(*rows.columns, *[(F.col(f"base_{out}") + before(inside, c)).alias(out) for out, c in sums.items()])
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """Targets of sources by water-filling: ``_mix_key, _mix_source_size`` to these and ``_mix_target``.
+    """Targets of sources by water-filling: ``key, source_size`` to these and ``target``.
 
     Sources in name order weigh ``weights``, repeating. A target is its weight
     times a level, or ``cap`` times its source's size where that is less, and
@@ -54,27 +81,17 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     sources by the level at which they reach their cap, let the first few be
     capped: what these leave, over the weights of the rest, is a level that
     rises while the next would still be capped and falls after, so the level
-    looked for is the highest. One row per source is handled here.
+    looked for is the highest.
     """
-    rank = F.row_number().over(Window.orderBy("_mix_key")) - 1
-    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (rank % len(weights) + 1).cast("int")).cast("long")
-    whole = Window.partitionBy()
-    before = Window.orderBy("_mix_ratio", "_mix_key").rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.lit(float(share)) * F.sum("_mix_source_size").over(whole) - F.coalesce(F.sum("_mix_cap").over(before), F.lit(0))) / (
-        F.sum("_mix_weight").over(whole) - F.coalesce(F.sum("_mix_weight").over(before), F.lit(0))
-    )
-    return (
-        sizes.withColumn("_mix_weight", weight)
-        .withColumn("_mix_cap", F.col("_mix_source_size") * cap)
-        .withColumn("_mix_ratio", F.col("_mix_cap").cast("double") / F.col("_mix_weight"))
-        .withColumn("_mix_level", level)
-        .withColumn("_mix_level", F.max("_mix_level").over(whole))
-        .select(
-            "_mix_key",
-            "_mix_source_size",
-            F.least(F.col("_mix_cap").cast("double"), F.col("_mix_weight") * F.col("_mix_level")).alias("_mix_target"),
-        )
-    )
+    ranked = _sums_before(sizes.withColumn("one", F.lit(1)), ["key"], {"rank": "one"}, "mix-ranks")
+    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")).cast("long")
+    weighed = ranked.select("key", "source_size", weight.alias("weight"), (F.col("source_size") * cap).alias("most"))
+    weighed = weighed.withColumn("ratio", F.col("most").cast("double") / F.col("weight"))
+    summed = _sums_before(weighed, ["ratio", "key"], {"capped": "most", "weights": "weight"}, "mix-levels")
+    whole = weighed.agg((F.lit(float(share)) * F.sum("source_size")).alias("share"), F.sum("weight").alias("all_weights"))
+    level = summed.crossJoin(F.broadcast(whole)).agg(F.max((F.col("share") - F.col("capped")) / (F.col("all_weights") - F.col("weights"))).alias("level"))
+    target = F.least(F.col("most").cast("double"), F.col("weight") * F.col("level"))
+    return weighed.crossJoin(F.broadcast(level)).select("key", "source_size", target.alias("target"))
 
 
 def _band(size: str) -> str:
@@ -82,6 +99,72 @@ def _band(size: str) -> str:
     return f"if({size} < 64, {size}, (length(bin({size})) - 1) * 64 + shiftright({size}, length(bin({size})) - 7) - 384 + 0L)"
 
 
+def _drawn(documents: DataFrame, size: Column, seed: int, id_column: str, source_column: str, weights: Sequence[int], share: float, cap: int) -> DataFrame:
+    """``row`` (the input's columns), ``size, source_size, target, copies``.
+
+    The order within a source is by falling size band, then by a hash of the
+    id. A document's place is found in four steps, each of which counts what
+    comes before within the step above: bands of the source, 256 hash ranges
+    of the band, 256 parts of the range, rows of the part. The counts are
+    combined before they are shuffled, so one source with a third of all rows
+    is spread over the cluster. Each row is shuffled once.
+    """
+
+    def keyed(frame: DataFrame) -> DataFrame:
+        digest = F.coalesce(F.md5(F.col("id").cast("string").cast("binary")), F.lit(""))
+        frame = frame.withColumn("band", F.expr(_band("size"))).withColumn("hash", digest)
+        return frame.withColumn("h1", F.substring("hash", 1, 2)).withColumn("h2", F.substring("hash", 1, 4))
+
+    part = ["key", "band", "h1", "h2"]
+    columns = [size.alias("size"), source_key(F.col(f"`{source_column}`")).alias("key"), F.col(f"`{id_column}`").alias("id")]
+    # the first pass over the texts leaves sizes only; all that follows, but for the last join, starts from these
+    sized = keyed(materialize(documents.select(*columns), "mix-sizes"))
+    counts = materialize(sized.groupBy(*part).agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.min("size").alias("least")), "mix-counts")
+
+    def before(column: str, *within: str, by: Column) -> Column:
+        w = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(column).over(w), F.lit(0))
+
+    bands = counts.groupBy("key", "band").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.min("least").alias("least"))
+    targets = materialize(source_targets(bands.groupBy("key").agg(F.sum("words").alias("source_size")), weights, share, cap), "mix-targets")
+    bands = bands.join(targets, "key").withColumn("large", F.col("least") > F.col("target") * TOLERANCE).withColumn("b0", before("n", "key", by=F.desc("band")))
+    bands = materialize(bands, "mix-bands")
+    ranges = counts.groupBy(*part[:3]).agg(F.sum("n").alias("n"))
+    ranges = ranges.select(*part[:3], before("n", *part[:2], by=F.asc("h1")).alias("b1"))
+    parts = counts.select(*part, before("n", *part[:3], by=F.asc("h2")).alias("b2"))
+
+    def placed(rows: DataFrame, of: DataFrame) -> DataFrame:
+        bases = parts.join(ranges, part[:3]).join(of, part[:2])
+        place = F.row_number().over(Window.partitionBy(*part).orderBy("hash", "id", "size"))
+        return rows.join(bases, part).withColumn("place", F.col("b0") + F.col("b1") + F.col("b2") + place)
+
+    offset = F.lit(offset_of(seed))
+
+    def copies(rate: Column, place: Column) -> Column:
+        return F.floor(offset + rate * place) - F.floor(offset + rate * (place - 1))
+
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    first = placed(sized, bands.where("large").select("key", "band", "b0", "source_size", "target"))
+    taken = first.groupBy("key").agg(F.sum(copies(rate, F.col("place")) * F.col("size")).alias("took"))
+    large = bands.where("large").groupBy("key").agg(F.sum("n").alias("n_large"), F.sum("words").alias("large_words"))
+    none = F.lit(0).cast("long")
+    left = targets.join(taken, "key", "left").join(large, "key", "left").select(
+        "key", *[F.coalesce(c, none).alias(c) for c in ("took", "n_large", "large_words")]
+    )
+    left = materialize(left, "mix-left")
+    words_left = F.col("source_size") - F.col("large_words")
+    rest = F.when(words_left > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(cap)), (F.col("target") - F.col("took")) / words_left))).otherwise(F.lit(0.0))
+    every = bands.select("key", "band", "b0", "large", "source_size", "target").join(left, "key")
+    rows = keyed(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), *columns))
+    return placed(rows, every).select(
+        "row",
+        "size",
+        "source_size",
+        "target",
+        F.when(F.col("large"), copies(rate, F.col("place"))).otherwise(copies(rest, F.col("place") - F.col("n_large"))).alias("copies"),
+    )
+
+
 def with_copies(
     documents: DataFrame,
     size: Column,
@@ -92,71 +175,36 @@ def with_copies(
     share: float = SHARE,
     cap: int = CAP,
 ) -> DataFrame:
-    """The documents with ``_mix_size, _mix_source_size, _mix_target, _mix_copies``.
-
-    The order within a source is by falling size band, then by a hash of the
-    id. Falling sizes keep the words taken near the target, as neighbours in
-    the order stand in for each other. A document's place is found in four
-    steps, each of which counts what comes before within the step above:
-    bands of the source, 4,096 hash ranges of the band, 4,096 parts of the
-    range, rows of the part. The counts are combined before they are shuffled
-    and no step gathers more than 4,096 rows or one part, so one source with a
-    third of all rows is spread over the cluster. Each row is shuffled once.
-    """
-    rows = (
-        documents.withColumn("_mix_size", size)
-        .withColumn("_mix_key", source_key(F.col(source_column)))
-        .withColumn("_mix_band", F.expr(_band("_mix_size")))
-        .withColumn("_mix_hash", F.coalesce(F.md5(F.col(id_column).cast("string").cast("binary")), F.lit("")))
-        .withColumn("_mix_h1", F.substring("_mix_hash", 1, 3))
-        .withColumn("_mix_h2", F.substring("_mix_hash", 1, 6))
-    )
-    part = ["_mix_key", "_mix_band", "_mix_h1", "_mix_h2"]
-    # four steps start from these counts: written once, they read the texts once
-    counts = materialize(rows.groupBy(*part).agg(F.count("*").alias("_mix_n"), F.sum("_mix_size").alias("_mix_words")), "mix-counts")
-
-    def before(column: str, *within: str, by: Column) -> Column:
-        w = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum(column).over(w), F.lit(0))
-
-    bands = counts.groupBy("_mix_key", "_mix_band").agg(F.sum("_mix_n").alias("_mix_n"), F.sum("_mix_words").alias("_mix_words"))
-    targets = source_targets(bands.groupBy("_mix_key").agg(F.sum("_mix_words").alias("_mix_source_size")), weights, share, cap)
-    bands = bands.select("_mix_key", "_mix_band", before("_mix_n", "_mix_key", by=F.desc("_mix_band")).alias("_mix_b0")).join(targets, "_mix_key")
-    ranges = counts.groupBy("_mix_key", "_mix_band", "_mix_h1").agg(F.sum("_mix_n").alias("_mix_n"))
-    ranges = ranges.select("_mix_key", "_mix_band", "_mix_h1", before("_mix_n", "_mix_key", "_mix_band", by=F.asc("_mix_h1")).alias("_mix_b1"))
-    parts = counts.select(*part, before("_mix_n", "_mix_key", "_mix_band", "_mix_h1", by=F.asc("_mix_h2")).alias("_mix_b2"))
-    bases = parts.join(ranges, part[:3]).join(bands, part[:2])
-    place = F.row_number().over(Window.partitionBy(*part).orderBy("_mix_hash", id_column, "_mix_size"))
-    rate = F.when(F.col("_mix_source_size") > 0, F.col("_mix_target") / F.col("_mix_source_size")).otherwise(F.lit(0.0))
-    offset = F.lit(offset_of(seed))
-    return (
-        rows.join(bases, part)
-        .withColumn("_mix_place", F.col("_mix_b0") + F.col("_mix_b1") + F.col("_mix_b2") + place)
-        .withColumn("_mix_rate", rate)
-        .withColumn(
-            "_mix_copies",
-            F.floor(offset + F.col("_mix_rate") * F.col("_mix_place")) - F.floor(offset + F.col("_mix_rate") * (F.col("_mix_place") - 1)),
-        )
+    """The documents with ``mix_size, mix_source_size, mix_target, mix_copies``."""
+    drawn = _drawn(documents, size, seed, id_column, source_column, weights, share, cap)
+    return drawn.select(
+        *[F.col(f"row.`{c}`").alias(c) for c in documents.columns],
+        *[F.col(c).alias(free_name(f"mix_{c}", documents.columns)) for c in ("size", "source_size", "target", "copies")],
     )
 
 
-def mix(documents: DataFrame, seed: int = SEED, text_column: str = "text", **options) -> DataFrame:
+def mix(
+    documents: DataFrame, seed: int = SEED, text_column: str = "text", id_column: str = "doc_id", source_column: str = "source",
+    weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP,
+) -> DataFrame:
     """The mixed corpus: each document as often as it is drawn, with the columns of the input."""
-    drawn = with_copies(documents, word_count(F.col(text_column)), seed, **options).where("_mix_copies > 0")
-    return drawn.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    drawn = _drawn(documents, word_count(F.col(f"`{text_column}`")), seed, id_column, source_column, weights, share, cap).where("copies > 0")
+    drawn = drawn.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return drawn.select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
     from annalist.sources.tables import table
 
+    # written once: texts are read here and nowhere after
     slim = materialize(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     return with_copies(slim, F.col("size")).select(
         "doc_id",
         "size",
-        F.col("_mix_source_size").alias("source_size"),
-        F.col("_mix_target").alias("target"),
-        (F.col("_mix_copies") * F.col("size")).alias("taken"),
-        F.col("_mix_copies").alias("copies"),
+        F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"),
+        (F.col("mix_copies") * F.col("size")).alias("taken"),
+        F.col("mix_copies").alias("copies"),
     )
 
 
@@ -169,8 +217,14 @@ c AS (SELECT *, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(2
 l AS (SELECT max(level) AS level FROM c),
 t AS (SELECT k, source_size, least(CAST(2 * source_size AS DOUBLE), w * (SELECT level FROM l)) AS target FROM r),
 b AS (SELECT doc_id, k, size, CASE WHEN size < 64 THEN size ELSE (length(bin(size)) - 1) * 64 + (size >> CAST(length(bin(size)) - 7 AS INT)) - 384 END AS band FROM d),
-p AS (SELECT doc_id, size, k, row_number() OVER (PARTITION BY k ORDER BY band DESC, coalesce(md5(CAST(doc_id AS VARCHAR)), ''), doc_id, size) AS place FROM b),
-x AS (SELECT p.doc_id, p.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate, place FROM p JOIN t USING (k)),
-y AS (SELECT *, CAST(floor({offset_of(SEED)!r}::DOUBLE + rate * place) - floor({offset_of(SEED)!r}::DOUBLE + rate * (place - 1)) AS BIGINT) AS copies FROM x)
+g AS (SELECT k, band, min(size) AS least FROM b GROUP BY k, band),
+b2 AS (SELECT b.*, least > target * {TOLERANCE!r}::DOUBLE AS large, source_size, target FROM b JOIN g USING (k, band) JOIN t USING (k)),
+p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY band DESC, coalesce(md5(CAST(doc_id AS VARCHAR)), ''), doc_id, size) AS place,
+  CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM b2),
+f AS (SELECT *, CAST(floor({offset_of(SEED)!r}::DOUBLE + rate * place) - floor({offset_of(SEED)!r}::DOUBLE + rate * (place - 1)) AS BIGINT) AS drawn FROM p),
+a AS (SELECT k, coalesce(sum(drawn * size) FILTER (WHERE large), 0) AS took, count(*) FILTER (WHERE large) AS n_large, coalesce(sum(size) FILTER (WHERE large), 0) AS large_words FROM f GROUP BY k),
+x AS (SELECT f.*, n_large, CASE WHEN source_size > large_words THEN greatest(0.0::DOUBLE, least(2.0::DOUBLE, (target - took) / CAST(source_size - large_words AS DOUBLE))) ELSE 0 END AS rest FROM f JOIN a USING (k)),
+y AS (SELECT doc_id, size, source_size, target, CASE WHEN large THEN drawn ELSE
+  CAST(floor({offset_of(SEED)!r}::DOUBLE + rest * (place - n_large)) - floor({offset_of(SEED)!r}::DOUBLE + rest * (place - n_large - 1)) AS BIGINT) END AS copies FROM x)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM y
 """
