@@ -91,15 +91,11 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a frame to the shared folder as Parquet and read it back.
 
     Lineage ends here, a lost executor costs no more than its running tasks,
-    and the shuffle files behind the frame go once the write has ended: that
-    is a setting of the session, so the write runs in a clone of it and no
-    other query sees it.
+    and the shuffle files behind the frame go once the write has ended.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/annalist/{name}-{uuid.uuid4().hex}"
-    session = spark._jsparkSession.cloneSession()
-    session.conf().set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    same = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, df._jdf.queryExecution().analyzed())
+    same = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(_writer(spark), df._jdf.queryExecution().analyzed())
     place, files = _place(spark, path)
     files.deleteOnExit(place)
     same.write().option("compression", "zstd").parquet(path)
@@ -110,6 +106,30 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return written
 
 
+_writers: dict[str, object] = {}
+
+
+def _writer(spark: SparkSession):
+    """A clone of the session, with its settings of the moment, whose queries drop their shuffle files when they end.
+
+    To drop them is a setting of a whole session, and other threads' queries should not inherit it.
+    """
+    own = spark._jsparkSession
+    key = own.sessionUUID()
+    if key not in _writers:
+        _writers[key] = own.cloneSession()
+    settings = spark._jvm.java.util.Properties()
+    entries = own.sessionState().conf().getAllConfs().iterator()
+    while entries.hasNext():
+        entry = entries.next()
+        settings.setProperty(entry._1(), entry._2())
+    settings.setProperty("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    conf = _writers[key].sessionState().conf()
+    conf.clear()
+    conf.setConf(settings)
+    return _writers[key]
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete materialized frames that nothing reads any more; other frames are left alone."""
     for frame in frames:
