@@ -5,13 +5,12 @@ are summed up along it, one random offset is added, and a document is emitted
 once for every integer that its step of the sum crosses. All built-in
 functions; nothing here runs in Python.
 
-Copies are whole, so a few documents that hold much of a source's target can
-miss it by their own size whatever the offset. The order is therefore by
-falling size. The first documents, those larger than ``TOLERANCE`` of the
-target, expect the source's rate of target to size. What they take in fact
-is taken off the target, and the rest expect what is left over their words. So
-the words taken come within about ``TOLERANCE`` of the target wherever the
-rest can make up the difference with none to ``cap`` copies each.
+Copies are whole, so a few documents that hold much of a source's words can
+miss its target by their own size whatever the offset. Documents are therefore
+drawn by falling size, in bands of about one size, and those of a band expect
+what is left of the target over the words that are left. What a band takes in
+fact is taken off before the next, so the small ones at the end make up for
+the large ones, wherever none to ``cap`` copies of each can.
 
 Defined results: a null text counts as empty (size 0); a null source is a
 source of its own, last in order; a source without words has target 0 and is
@@ -36,8 +35,6 @@ WORD = r"[^\x20\x09-\x0D]++"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-#: Documents above this share of their source's target are drawn first, and the others make up for them.
-TOLERANCE = 1 / 256
 SEED = 2026
 
 
@@ -99,15 +96,45 @@ def _band(size: str) -> str:
     return f"if({size} < 64, {size}, (length(bin({size})) - 1) * 64 + shiftright({size}, length(bin({size})) - 7) - 384 + 0L)"
 
 
+def _rates(bands: DataFrame, targets: DataFrame, offset: float, cap: int) -> DataFrame:
+    """``key, band, rate, sum``: copies that documents of a band expect, and the sum of those expected before it.
+
+    One fold over the bands of a source, by falling size; there are at most 64
+    for each doubling of the size, however many documents.
+    """
+    steps = bands.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("band")).alias("falling"), "n", "words"))).alias("bands")).join(targets, "key")
+    out = "array<struct<band:bigint,rate:double,sum:double>>"
+    start = F.struct(
+        F.col("target").alias("left"), F.col("source_size").cast("double").alias("words"), F.lit(0.0).alias("sum"), F.array().cast(out).alias("out")
+    )
+
+    def step(done: Column, b: Column) -> Column:
+        rate = F.when(done["words"] > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(cap)), done["left"] / done["words"]))).otherwise(F.lit(0.0))
+        copies = _crossed(offset, done["sum"], rate, b["n"]) - _crossed(offset, done["sum"], rate, F.lit(0))
+        return F.struct(
+            (done["left"] - copies * b["words"] / b["n"]).alias("left"),
+            (done["words"] - b["words"]).alias("words"),
+            (done["sum"] + rate * b["n"]).alias("sum"),
+            F.concat(done["out"], F.array(F.struct((-b["falling"]).alias("band"), rate.alias("rate"), done["sum"].alias("sum")))).alias("out"),
+        )
+
+    return steps.select("key", "source_size", "target", F.inline(F.aggregate("bands", start, step, lambda done: done["out"])))
+
+
+def _crossed(offset: float, sum_: Column, rate: Column, place: Column) -> Column:
+    """Integers that the prefix sum has crossed after so many documents of a band."""
+    return F.floor(F.lit(offset) + (sum_ + rate * place))
+
+
 def _drawn(documents: DataFrame, size: Column, seed: int, id_column: str, source_column: str, weights: Sequence[int], share: float, cap: int) -> DataFrame:
     """``row`` (the input's columns), ``size, source_size, target, copies``.
 
     The order within a source is by falling size band, then by a hash of the
-    id. A document's place is found in four steps, each of which counts what
-    comes before within the step above: bands of the source, 256 hash ranges
-    of the band, 256 parts of the range, rows of the part. The counts are
-    combined before they are shuffled, so one source with a third of all rows
-    is spread over the cluster. Each row is shuffled once.
+    id. A document's place in its band is found in three steps, each of which
+    counts what comes before within the step above: 256 hash ranges of the
+    band, 256 parts of the range, rows of the part. The counts are combined
+    before they are shuffled, so one source with a third of all rows is spread
+    over the cluster. Each row is shuffled once.
     """
 
     def keyed(frame: DataFrame) -> DataFrame:
@@ -116,53 +143,25 @@ def _drawn(documents: DataFrame, size: Column, seed: int, id_column: str, source
         return frame.withColumn("h1", F.substring("hash", 1, 2)).withColumn("h2", F.substring("hash", 1, 4))
 
     part = ["key", "band", "h1", "h2"]
-    columns = [size.alias("size"), source_key(F.col(f"`{source_column}`")).alias("key"), F.col(f"`{id_column}`").alias("id")]
-    # the first pass over the texts leaves sizes only; all that follows, but for the last join, starts from these
-    sized = keyed(materialize(documents.select(*columns), "mix-sizes"))
-    counts = materialize(sized.groupBy(*part).agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.min("size").alias("least")), "mix-counts")
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    rows = keyed(documents.select(row, size.alias("size"), source_key(F.col(f"`{source_column}`")).alias("key"), F.col(f"`{id_column}`").alias("id")))
+    # all steps start from these counts: written once, they read the texts once
+    counts = materialize(rows.groupBy(*part).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-counts")
 
-    def before(column: str, *within: str, by: Column) -> Column:
+    def before(*within: str, by: str) -> Column:
         w = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum(column).over(w), F.lit(0))
-
-    bands = counts.groupBy("key", "band").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.min("least").alias("least"))
-    targets = materialize(source_targets(bands.groupBy("key").agg(F.sum("words").alias("source_size")), weights, share, cap), "mix-targets")
-    bands = bands.join(targets, "key").withColumn("large", F.col("least") > F.col("target") * TOLERANCE).withColumn("b0", before("n", "key", by=F.desc("band")))
-    bands = materialize(bands, "mix-bands")
-    ranges = counts.groupBy(*part[:3]).agg(F.sum("n").alias("n"))
-    ranges = ranges.select(*part[:3], before("n", *part[:2], by=F.asc("h1")).alias("b1"))
-    parts = counts.select(*part, before("n", *part[:3], by=F.asc("h2")).alias("b2"))
-
-    def placed(rows: DataFrame, of: DataFrame) -> DataFrame:
-        bases = parts.join(ranges, part[:3]).join(of, part[:2])
-        place = F.row_number().over(Window.partitionBy(*part).orderBy("hash", "id", "size"))
-        return rows.join(bases, part).withColumn("place", F.col("b0") + F.col("b1") + F.col("b2") + place)
-
-    offset = F.lit(offset_of(seed))
-
-    def copies(rate: Column, place: Column) -> Column:
-        return F.floor(offset + rate * place) - F.floor(offset + rate * (place - 1))
-
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    first = placed(sized, bands.where("large").select("key", "band", "b0", "source_size", "target"))
-    taken = first.groupBy("key").agg(F.sum(copies(rate, F.col("place")) * F.col("size")).alias("took"))
-    large = bands.where("large").groupBy("key").agg(F.sum("n").alias("n_large"), F.sum("words").alias("large_words"))
-    none = F.lit(0).cast("long")
-    left = targets.join(taken, "key", "left").join(large, "key", "left").select(
-        "key", *[F.coalesce(c, none).alias(c) for c in ("took", "n_large", "large_words")]
-    )
-    left = materialize(left, "mix-left")
-    words_left = F.col("source_size") - F.col("large_words")
-    rest = F.when(words_left > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(cap)), (F.col("target") - F.col("took")) / words_left))).otherwise(F.lit(0.0))
-    every = bands.select("key", "band", "b0", "large", "source_size", "target").join(left, "key")
-    rows = keyed(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), *columns))
-    return placed(rows, every).select(
-        "row",
-        "size",
-        "source_size",
-        "target",
-        F.when(F.col("large"), copies(rate, F.col("place"))).otherwise(copies(rest, F.col("place") - F.col("n_large"))).alias("copies"),
-    )
+        return F.coalesce(F.sum("n").over(w), F.lit(0))
+
+    bands = counts.groupBy("key", "band").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    targets = source_targets(bands.groupBy("key").agg(F.sum("words").alias("source_size")), weights, share, cap)
+    offset = offset_of(seed)
+    rates = materialize(_rates(bands, targets, offset, cap), "mix-rates")
+    ranges = counts.groupBy(*part[:3]).agg(F.sum("n").alias("n")).select(*part[:3], before(*part[:2], by="h1").alias("b1"))
+    parts = counts.select(*part, before(*part[:3], by="h2").alias("b2"))
+    place = F.col("b1") + F.col("b2") + F.row_number().over(Window.partitionBy(*part).orderBy("hash", "id", "size"))
+    rows = rows.join(parts.join(ranges, part[:3]).join(rates, part[:2]), part).withColumn("place", place)
+    crossed = [_crossed(offset, F.col("sum"), F.col("rate"), F.col("place") - back) for back in (0, 1)]
+    return rows.select("row", "size", "source_size", "target", F.least(crossed[0] - crossed[1], F.lit(cap).cast("long")).alias("copies"))
 
 
 def with_copies(
@@ -209,7 +208,7 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-WITH d AS (SELECT doc_id, coalesce('0' || source, '1') AS k, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('0' || source, '1') AS k, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY k) - 1) % 3 + 1 AS INT)] AS BIGINT) AS w FROM d GROUP BY k),
 r AS (SELECT *, CAST(2 * source_size AS DOUBLE) / w AS ratio FROM s),
 c AS (SELECT *, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER (ORDER BY ratio, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
@@ -217,14 +216,15 @@ c AS (SELECT *, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(2
 l AS (SELECT max(level) AS level FROM c),
 t AS (SELECT k, source_size, least(CAST(2 * source_size AS DOUBLE), w * (SELECT level FROM l)) AS target FROM r),
 b AS (SELECT doc_id, k, size, CASE WHEN size < 64 THEN size ELSE (length(bin(size)) - 1) * 64 + (size >> CAST(length(bin(size)) - 7 AS INT)) - 384 END AS band FROM d),
-g AS (SELECT k, band, min(size) AS least FROM b GROUP BY k, band),
-b2 AS (SELECT b.*, least > target * {TOLERANCE!r}::DOUBLE AS large, source_size, target FROM b JOIN g USING (k, band) JOIN t USING (k)),
-p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY band DESC, coalesce(md5(CAST(doc_id AS VARCHAR)), ''), doc_id, size) AS place,
-  CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM b2),
-f AS (SELECT *, CAST(floor({offset_of(SEED)!r}::DOUBLE + rate * place) - floor({offset_of(SEED)!r}::DOUBLE + rate * (place - 1)) AS BIGINT) AS drawn FROM p),
-a AS (SELECT k, coalesce(sum(drawn * size) FILTER (WHERE large), 0) AS took, count(*) FILTER (WHERE large) AS n_large, coalesce(sum(size) FILTER (WHERE large), 0) AS large_words FROM f GROUP BY k),
-x AS (SELECT f.*, n_large, CASE WHEN source_size > large_words THEN greatest(0.0::DOUBLE, least(2.0::DOUBLE, (target - took) / CAST(source_size - large_words AS DOUBLE))) ELSE 0 END AS rest FROM f JOIN a USING (k)),
-y AS (SELECT doc_id, size, source_size, target, CASE WHEN large THEN drawn ELSE
-  CAST(floor({offset_of(SEED)!r}::DOUBLE + rest * (place - n_large)) - floor({offset_of(SEED)!r}::DOUBLE + rest * (place - n_large - 1)) AS BIGINT) END AS copies FROM x)
+g AS (SELECT k, band, CAST(count(*) AS DOUBLE) AS n, CAST(sum(size) AS DOUBLE) AS words, row_number() OVER (PARTITION BY k ORDER BY band DESC) AS i FROM b GROUP BY k, band),
+o AS (SELECT {offset_of(SEED)!r}::DOUBLE AS o),
+f(k, i, remains, words, done, rate, before) AS (
+  SELECT k, CAST(0 AS BIGINT), target, CAST(source_size AS DOUBLE), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM t
+  UNION ALL SELECT k, i, remains - (floor(o + (done + rate * n)) - floor(o + (done + rate * 0))) * own / n, words - own, done + rate * n, rate, done FROM (
+    SELECT f.k, g.i, remains, f.words, done, g.n, g.words AS own, CASE WHEN f.words > 0 THEN greatest(0.0::DOUBLE, least(2.0::DOUBLE, remains / f.words)) ELSE 0.0::DOUBLE END AS rate
+    FROM f JOIN g ON g.k = f.k AND g.i = f.i + 1), o),
+p AS (SELECT doc_id, size, k, band, row_number() OVER (PARTITION BY k, band ORDER BY coalesce(md5(CAST(doc_id AS VARCHAR)), ''), doc_id, size) AS place FROM b),
+y AS (SELECT doc_id, size, source_size, target, CAST(least(floor(o + (before + rate * place)) - floor(o + (before + rate * (place - 1))), 2) AS BIGINT) AS copies
+  FROM p JOIN g USING (k, band) JOIN f ON f.k = p.k AND f.i = g.i JOIN t ON t.k = p.k CROSS JOIN o)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM y
 """
