@@ -51,16 +51,52 @@ def test_edges_and_blocks(spark, monkeypatch, block):
     assert e.near_duplicates(df.limit(0)).collect() == []
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("cosine", [0.5, 0.7, 0.9, 0.99])
+@pytest.mark.parametrize("dimension", [2, 3, 8, 64, 300])
+def test_recall_at_the_threshold(cosine, dimension):
+    """Every pair just above the threshold is found, in any dimension: none of the windows is clipped."""
     rng = np.random.default_rng(9)
-    x = rng.standard_normal((3000, 64))
+    n = 1000
+    x = rng.standard_normal((n, dimension))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y = rng.standard_normal((3000, 64))
+    y = rng.standard_normal((n, dimension))
     y -= (x * y).sum(axis=1, keepdims=True) * x
     y /= np.linalg.norm(y, axis=1, keepdims=True)
-    pairs = 0.9001 * x + np.sqrt(1 - 0.9001**2) * y
-    both = np.concatenate([x, pairs]).astype(np.float64)
-    linked, at = e.links(both, np.ones(6000, np.int64), np.zeros(6000, np.int64))
-    assert (linked == 1).all() and at[3000:] == list(range(3000))
-    half, least = e.calibrated(64)
-    assert 0 < half < 120 and 0 < least <= e.PROJECTIONS
+    c = cosine + 1e-6
+    both = np.concatenate([x, c * x + np.sqrt(1 - c * c) * y])
+    both /= np.linalg.norm(both, axis=1, keepdims=True)
+    near = both @ both.T >= cosine
+    np.fill_diagonal(near, False)
+    linked, at = e.links(both, np.ones(2 * n, np.int64), np.zeros(2 * n, np.int64), cosine)
+    assert (linked == near.sum(axis=1)).all()
+    halves = np.repeat([1, 2], n)
+    linked, _ = e.links(both, np.ones(2 * n, np.int64), halves, cosine)
+    assert (linked == (near & (halves[:, None] != halves[None, :])).sum(axis=1)).all()
+
+
+def test_counters_add_up():
+    rng = np.random.default_rng(3)
+    sets = rng.integers(0, 2, (e.PROJECTIONS, 640), np.uint8)
+    packed = [np.packbits(s, bitorder="little").view(np.uint64) for s in sets]
+    counters = e._added(packed, e.PROJECTIONS.bit_length())
+    for least in (0, 1, 20, 24, 31, e.PROJECTIONS):
+        got = np.unpackbits(e._at_least(counters, least).view(np.uint8), bitorder="little")
+        assert (got == (sets.sum(axis=0) >= least)).all()
+
+
+def test_windows_hold_the_sorted_neighbours():
+    rng = np.random.default_rng(4)
+    cells = rng.integers(0, e.CELLS, (3, 200))
+    prefixes = e._prefixes(cells)
+    for p in range(3):
+        for lo, hi in ((0, e.CELLS), (5, 9), (100, 101)):
+            bits = np.unpackbits((prefixes[p, hi] ^ prefixes[p, lo]).view(np.uint8), bitorder="little")[:200]
+            assert (bits == ((cells[p] >= lo) & (cells[p] < hi))).all()
+
+
+def test_cosine_at_the_threshold_does_not_depend_on_the_tile(spark):
+    """(9, sqrt(19)) against (1, 0) has the cosine 0.9 but for rounding; vectors of whole numbers have it exactly."""
+    x = [[3.0, 4.0, 0.0], [6.0, 8.0, 0.0], [9.0, 2.0, 3.873], [1e30, 0.0, 0.0], [1e-30, 0.0, 0.0], [4.0, 3.0, 0.0]]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id int, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in e.near_duplicates(df, cosine=0.96).collect()}
+    assert got[0] == (2, 0) and got[1] == (2, 0) and got[5] == (2, 0) and got[3] == (1, 3) and got[4] == (1, 3)
