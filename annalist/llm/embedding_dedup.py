@@ -41,7 +41,8 @@ from annalist.session import default_partitions, discard, materialize
 PROJECTIONS, SEED = 48, 11
 COSINE = 0.9
 MISS = 1e-7
-BLOCK = 8192
+#: Rows of a block; few vectors are cut into more blocks than that, as long as these hold some rows, for the tasks to share.
+BLOCK, LEAST_ROWS, LEAST_BLOCKS = 8192, 512, 8
 TILE = 256
 #: A projection of unit vectors is kept in this many cells, over four deviations to each side; what lies beyond
 #: counts to the last ones, which only brings pairs nearer.
@@ -274,7 +275,9 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, id_column: st
     )
     classes = vectors.withColumn("dimension", F.size("embedding"))
     # one row for each length of vectors
-    sizes = classes.groupBy("dimension").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = classes.groupBy("dimension").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.least(F.ceil(F.count("*") / LEAST_ROWS), F.lit(LEAST_BLOCKS))).cast("int").alias("blocks")
+    )
     placed = (
         spread(classes, sizes, "dimension")
         .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
