@@ -1,24 +1,29 @@
 """Personal data and secrets: base patterns, and further spans by weak supervision.
 
 Base kinds are found by pattern and checked (address parts, Luhn digit, number
-of digits). On top, candidates for secrets are voted on by a pattern, a
-gazetteer, a context and a shape labeler. Expectation-maximisation over the
-vote patterns estimates how reliable each labeler is, and the posteriors train
-the final span classifier, a naive Bayes over span features. Added are the
-spans that it scores above zero, and those of a format that only secrets and
-hashes have (``KNOWN``), which count wherever they stand: where a corpus names
-all its secrets, a classifier learns that bare ones are none. Base spans stay,
-and added ones do not overlap them.
+of digits). On top, candidates for secrets and for names of persons are voted
+on by a pattern, a gazetteer and a context labeler. Expectation-maximisation
+over the vote patterns estimates how reliable each labeler is, and the
+posteriors train the final span classifier, a naive Bayes over what the
+labelers do not look at: character classes, their changes, length, distinct
+characters, and neighbours. A span's score is the classifier's odds together
+with those of the votes at their estimated reliabilities; spans that score
+above zero are added, and no rule stands beside the score. In it a labeler that
+says nothing counts for nothing: where a corpus names all its secrets, a bare
+one is no less a secret. Base spans stay, and added ones overlap neither them nor
+each other.
 
 Spans come from splitting a text at a pattern: lengths of the pieces between
 and of the finds, summed up, are the positions. Every step is a built-in
 function. What is collected for fitting is one row per pattern of votes and
-features, at most ``MOST_PATTERNS`` by construction, whatever the input.
+features, at most ``MOST_PATTERNS`` a kind by construction, whatever the input.
 
 Defined results: null text counts as empty and has no spans; an empty table
 gives an empty table, and the classifier then is what the labelers' initial
-weights make it; repeated rows are judged each on its own; extra columns are
-kept by ``detect``, whose only new columns are the ones it names.
+weights make it; repeated rows are judged each on its own; ties and overlaps go
+to the span that begins first, then to the kind listed first; extra columns
+are kept by ``detect``, whose result columns get a number where the input has
+their names (``names.free_name``).
 
 Positions are in code points, ends exclusive.
 """
@@ -27,10 +32,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist.llm.names import free_name
+
 # Possessive forms and look-behinds keep matching linear in the text. They find
 # the same as the plain patterns: what follows a run is never part of it, and a
 # match that starts inside a run would also start where the run, or what the
@@ -46,18 +54,30 @@ CANDIDATE = (
     r"(?<![A-Za-z0-9_/+-])(?<![A-Za-z0-9_/+-]\.)(?=[A-Za-z0-9_/+.-]{16})(?=(?:[A-Za-z_/+-]++|\.(?!\.))*+[0-9])"
     r"[/+]*+[A-Za-z0-9_-]++(?:(?:[/+]++|\.(?!\.))[A-Za-z0-9_-]++)*+[/+]*+(?:={1,2}+(?![\"']?[A-Za-z0-9_/+=-]))?+"
 )
-# Formats that are secrets wherever they stand.
+# Formats that secrets have and little else.
 KNOWN = (
     r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]*)$"
     r"|(?:^|[/.+])(?:ghp_[A-Za-z0-9]{16,}|sk-(?:[A-Za-z0-9]+[_-])*[A-Za-z0-9]{16,}|AKIA[A-Z0-9]{12,}|xox[bp]-[A-Za-z0-9-]{10,})"
 )
+# Digits only, or words and numbers with marks between: dates, paths, names of files and hosts.
+ORDINARY = r"^(?:[0-9_/+.=-]+|(?:[A-Za-z]{2,}[0-9]?|[0-9]{1,8})(?:[-_/.]+(?:[A-Za-z]{2,}[0-9]?|[0-9]{1,8}))+)$"
+PERSON = r"(?<![A-Za-z])[A-Z][a-z]++(?: [A-Z]\.)? [A-Z][a-z]++(?![A-Za-z])"
 
 # Words that name secrets.
 GAZETTEER = ("api", "auth", "bearer", "credential", "key", "passphrase", "passwd", "password", "pwd", "secret", "token")
+# Given names, what stands before a name, and words that begin sentences.
+GIVEN = (
+    "Alice", "Anna", "Barbara", "Carlos", "Charles", "David", "Elena", "Elizabeth", "Emma", "Fatima", "George", "Hans", "Ivan", "James", "Jane", "Jennifer", "Johann",
+    "John", "Jose", "Joseph", "Juan", "Karen", "Laura", "Linda", "Luis", "Maria", "Marie", "Mark", "Mary", "Michael", "Mohammed", "Nancy", "Olga", "Patricia", "Paul",
+    "Peter", "Pierre", "Richard", "Robert", "Sarah", "Susan", "Thomas", "William",
+)
+TITLED = r"(?:\b(?:Mr|Mrs|Ms|Dr|Prof)\.? )$"
+NAMED = r"(?i)(?:\b(?:my name is|i am|signed|sincerely|regards|dear|contact|patient|customer|name ?:|attn ?:),?\s+)$"
+OPENING = r"^(?:A|All|An|And|At|But|For|From|He|Her|His|How|If|In|It|My|No|Not|Of|On|Or|Our|She|So|That|The|Their|Then|There|These|They|This|To|We|What|When|With|You|Your) "
 CONTEXT = 24
 BLOCK = 256
 ROUNDS = 30
-PIECES = "array<struct<start:int,end:int,found:string,before:string>>"
+PIECES = "array<struct<start:int,end:int,found:string,before:string,after:string>>"
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -67,7 +87,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def located(text: Column, pattern: str) -> Column:
-    """All finds of a pattern with their place and the characters before them.
+    """All finds of a pattern with their place, the characters before them and the one after.
 
     Lengths are summed up in blocks, so a text with n finds costs n * (BLOCK + n / BLOCK).
     """
@@ -90,7 +110,7 @@ def located(text: Column, pattern: str) -> Column:
                         + F.aggregate(F.slice(steps, F.shiftright(i, 8) * BLOCK + 1, i % BLOCK), F.lit(0), lambda a, x: a + x)
                         + F.length(F.element_at(pair["gaps"], i + 1)),
                         lambda at: F.struct(
-                            at.alias("start"), (at + F.length(m)).alias("end"), m.alias("found"), before(pair, i).alias("before")
+                            at.alias("start"), (at + F.length(m)).alias("end"), m.alias("found"), before(pair, i).alias("before"), F.left(F.element_at(pair["gaps"], i + 2), F.lit(1)).alias("after")
                         ),
                     ),
                 ),
@@ -128,42 +148,92 @@ def _spans(kind: str, pieces: Column) -> Column:
 # --- weak supervision -------------------------------------------------------
 
 
-def _votes(found: Column, before: Column) -> dict[str, Column]:
-    """Each labeler's vote on a candidate: 1 for, -1 against, 0 for no opinion."""
-    named = F.lower(before).rlike("(?:" + "|".join(GAZETTEER) + ")")
-    only_digits = found.rlike(r"^[0-9_/+.=-]+$")
-    return {
-        "pattern": F.when(found.rlike(KNOWN), 1).when(only_digits, -1).otherwise(0),
-        "gazetteer": F.when(named, 1).otherwise(-1),
-        "context": F.when(before.rlike(r"""[=:]\s*["']?$"""), 1).otherwise(-1),
-        "shape": F.when(only_digits, -1).when(found.rlike(r"[0-9][A-Za-z]+[0-9]+[A-Za-z]"), 1).otherwise(0),
-    }
+class Kind(NamedTuple):
+    """Spans that labelers and the classifier decide on. Candidates have at least ``least`` characters."""
+
+    pattern: str
+    least: int
+    #: found, before, after to votes, 1 for, -1 against and 0 for none
+    votes: Callable[[Column, Column, Column], tuple[Column, ...]]
+    #: found, before, after to features with the number of their values, from 0
+    features: Callable[[Column, Column, Column], tuple[tuple[Column, int], ...]]
+
+
+def _steps(value: Column, *limits: float) -> tuple[Column, int]:
+    """How many limits a value reaches, and that there are so many values."""
+    return sum((F.when(value >= x, 1).otherwise(0) for x in limits), F.lit(0)), len(limits) + 1
 
 
-def _features(found: Column, before: Column) -> dict[str, tuple[Column, int]]:
-    """Each feature of the final classifier with the number of its values, from 0."""
+def _first_of(*tests: Column) -> tuple[Column, int]:
+    """The number of the first test that holds, from 1, or 0."""
+    out = F.lit(0)
+    for i in range(len(tests), 0, -1):
+        out = F.when(tests[i - 1], i).otherwise(out)
+    return out, len(tests) + 1
+
+
+def _distinct(found: Column) -> Column:
+    return F.size(F.array_distinct(F.split(found, "")))
+
+
+def _secret_votes(found: Column, before: Column, after: Column) -> tuple[Column, ...]:
+    return (
+        F.when(found.rlike(ORDINARY), -1).when(found.rlike(KNOWN), 1).otherwise(0),
+        F.when(F.lower(before).rlike("(?:" + "|".join(GAZETTEER) + ")"), 1).otherwise(0),
+        F.when(before.rlike(r"""[=:]\s*["']?$"""), 1).otherwise(0),
+    )
+
+
+def _secret_features(found: Column, before: Column, after: Column) -> tuple[tuple[Column, int], ...]:
     n = F.length(found)
-    return {
-        "length": (F.when(n < 24, 0).when(n < 40, 1).otherwise(2), 3),
-        "hex": (F.when(found.rlike("^[0-9a-fA-F]+$"), 1).otherwise(0), 2),
-        "letters": (F.when(found.rlike("[A-Za-z]"), 1).otherwise(0), 2),
-        "upper": (F.when(found.rlike("[A-Z]"), 1).otherwise(0), 2),
-        "quoted": (F.when(before.rlike("[\"'`]$"), 1).otherwise(0), 2),
-        "named": (F.when(F.lower(before).rlike("(?:" + "|".join(GAZETTEER) + ")"), 1).otherwise(0), 2),
-        "assigned": (F.when(before.rlike(r"""[=:]\s*["']?$"""), 1).otherwise(0), 2),
-    }
+    return (
+        _steps(n, 20, 28, 36, 48),
+        _first_of(found.rlike("^[0-9a-f]+$"), found.rlike("^[A-Za-z0-9]+$"), found.rlike("^[A-Za-z0-9_-]+$"), found.rlike("^[A-Za-z0-9/+=]+$")),
+        _steps(F.regexp_count(found, F.lit("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")) / n, 0.08, 0.2, 0.35),
+        _steps(_distinct(found) / n, 0.2, 0.34, 0.5, 0.7),
+        _steps(F.regexp_count(found, F.lit("[0-9]")) / n, 0.1, 0.3, 0.7),
+        _first_of(found.rlike("[A-Z]") & found.rlike("[a-z]"), found.rlike("[A-Z]")),
+        _first_of(found.rlike("[a-z]{6}|[A-Z]{8}"), found.rlike("[A-Za-z]{4}")),
+        _first_of(after.rlike("[\"'`]"), after.rlike(r"[\s,;)]")),
+    )
 
 
-MOST_PATTERNS = 3**4 * 3 * 2**6
+def _name_votes(found: Column, before: Column, after: Column) -> tuple[Column, ...]:
+    return (
+        F.when(found.rlike(OPENING), -1).when(before.rlike(TITLED), 1).otherwise(0),
+        F.when(found.rlike("^(?:" + "|".join(GIVEN) + ") "), 1).otherwise(0),
+        F.when(before.rlike(NAMED), 1).otherwise(0),
+    )
+
+
+def _name_features(found: Column, before: Column, after: Column) -> tuple[tuple[Column, int], ...]:
+    return (
+        _steps(F.length(F.substring_index(found, " ", 1)), 4, 7, 10),
+        _steps(F.length(F.substring_index(found, " ", -1)), 4, 7, 10),
+        _first_of(before == "", before.rlike(r"[.!?\n]\s*$"), before.rlike(r"[A-Z]\w* $"), before.rlike(r"[a-z] $")),
+        _first_of(after.rlike(r"[,.;:]"), after.rlike(r"\s"), after == ""),
+        _first_of(found.rlike(r" [A-Z]\. ")),
+    )
+
+
+#: In this order added spans are listed, after the base kinds.
+KINDS = {"secret": Kind(CANDIDATE, 16, _secret_votes, _secret_features), "name": Kind(PERSON, 5, _name_votes, _name_features)}
+LABELERS = 3
+MOST_PATTERNS = 3 * 2 * 2 * 5 * 5 * 4 * 5 * 4 * 3 * 3 * 3
+#: Share of the features' odds that counts, as they tell much of the same.
+TEMPER = 0.5
+#: Weight of what all candidates have in a feature, in counts, against what a class has.
+POOLED = 2.0
 
 
 def vote_reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, list[dict[tuple[int, int], float]], dict]:
-    """EM over vote patterns: the share of secrets, P(vote | class) per labeler, and each pattern's posterior.
+    """EM over vote patterns: the share of spans, P(vote | class) per labeler, and each pattern's posterior.
 
-    Starts from the votes' sum, counts are smoothed by one, the rounds are fixed, so reruns agree.
+    Starts from the votes' sum, counts are smoothed by one, the rounds are
+    fixed, so reruns agree.
     """
-    labelers = len(next(iter(patterns), ()))
-    posterior = {v: 1 / (1 + math.exp(-2.0 * sum(v))) for v in patterns}
+    labelers = len(next(iter(patterns), (0,) * LABELERS))
+    posterior = {v: 1 / (1 + math.exp(-(2.0 * sum(v) if any(v) else -3.0))) for v in patterns}
     share, tables = 0.5, []
     for _ in range(rounds):
         total = sum(patterns.values())
@@ -175,8 +245,8 @@ def vote_reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = ROUND
             for side, mass in ((1, yes), (0, total - yes)):
                 for vote in (-1, 0, 1):
                     hit = sum(n * (posterior[v] if side else 1 - posterior[v]) for v, n in patterns.items() if v[k] == vote)
-                    # a labeler is taken to be better than chance: one more count on its own side
-                    table[side, vote] = (hit + (2.0 if vote == (1 if side else -1) else 0.5)) / (mass + 3.0)
+                    # a labeler is taken to be better than chance: two more counts on its own side, next to none on the other
+                    table[side, vote] = (hit + (2.0 if vote == (1 if side else -1) else 0.05 if vote else 0.95)) / (mass + 3.0)
             tables.append(table)
         for v in patterns:
             odds = math.log(share / (1 - share)) + sum(math.log(t[1, x] / t[0, x]) for t, x in zip(tables, v, strict=True))
@@ -184,55 +254,100 @@ def vote_reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = ROUND
     return share, tables, posterior
 
 
-def _candidates(text: Column) -> Column:
-    return F.filter(located(text, CANDIDATE), lambda p: F.length(p["found"]) >= 16)
+def _candidates(text: Column, kind: str = "secret") -> Column:
+    return F.filter(located(text, KINDS[kind].pattern), lambda p: F.length(p["found"]) >= KINDS[kind].least)
+
+
+def _trained(rows: list[tuple], kind: str) -> dict:
+    """From rows of votes, features and their count: the weights of votes and feature values, and the intercept."""
+    values = [n for _, n in KINDS[kind].features(*[F.lit("")] * 3)]
+    patterns: dict[tuple[int, ...], int] = {}
+    for r in rows:
+        patterns[r[:LABELERS]] = patterns.get(r[:LABELERS], 0) + r[-1]
+    share, tables, posterior = vote_reliabilities(patterns)
+    total = sum(r[-1] for r in rows)
+    yes = sum(r[-1] * posterior[r[:LABELERS]] for r in rows)
+    no = total - yes
+    features = []
+    for i, n in enumerate(values, LABELERS):
+        weights = []
+        for x in range(n):
+            a = sum(r[-1] * posterior[r[:LABELERS]] for r in rows if r[i] == x)
+            b = sum(r[-1] * (1 - posterior[r[:LABELERS]]) for r in rows if r[i] == x)
+            # drawn to what all candidates have, so that a value never seen says nothing
+            pooled = POOLED * (a + b) / max(total, 1)
+            weights.append(TEMPER * (math.log((a + pooled) / (yes + POOLED)) - math.log((b + pooled) / (no + POOLED))) if a + b else 0.0)
+        features.append(weights)
+    votes = [{x: math.log(t[1, x] / t[0, x]) if x else 0.0 for x in (-1, 0, 1)} for t in tables]
+    return {"intercept": math.log(share / (1 - share)), "votes": votes, "features": features}
 
 
 def fit(documents: DataFrame, text_column: str = "text") -> dict:
-    """The span classifier: an intercept and a weight for each value of each feature.
+    """For each kind the span classifier: an intercept, and a weight for each vote and each value of each feature.
 
     Reads every candidate of every text; they are counted by votes and features on the executors.
     """
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    c = documents.select(F.explode(_candidates(text)).alias("c")).select("c.found", "c.before")
-    votes, features = _votes(F.col("found"), F.col("before")), _features(F.col("found"), F.col("before"))
-    columns = [v.cast("int").alias(f"v_{k}") for k, v in votes.items()] + [f.cast("int").alias(f"f_{k}") for k, (f, _) in features.items()]
-    rows = [tuple(r) for r in c.select(*columns).groupBy(*[f"v_{k}" for k in votes], *[f"f_{k}" for k in features]).count().collect()]
-    patterns: dict[tuple[int, ...], int] = {}
-    for r in sorted(rows):
-        patterns[r[: len(votes)]] = patterns.get(r[: len(votes)], 0) + r[-1]
-    _, _, posterior = vote_reliabilities(patterns)
-    yes = sum(r[-1] * posterior[r[: len(votes)]] for r in rows)
-    no = sum(r[-1] for r in rows) - yes
-    weights = {}
-    for i, (k, (_, values)) in enumerate(features.items(), len(votes)):
-        for x in range(values):
-            a = sum(r[-1] * posterior[r[: len(votes)]] for r in sorted(rows) if r[i] == x)
-            b = sum(r[-1] * (1 - posterior[r[: len(votes)]]) for r in sorted(rows) if r[i] == x)
-            weights[k, x] = math.log((a + 1) / (yes + values)) - math.log((b + 1) / (no + values))
-    return {"intercept": math.log((yes + 1) / (no + 1)), "weights": weights}
-
-
-def _is_secret(found: Column, before: Column, model: dict) -> Column:
-    score = F.lit(float(model["intercept"]))
-    for k, (feature, values) in _features(found, before).items():
-        score = score + F.element_at(F.array(*[F.lit(float(model["weights"][k, x])) for x in range(values)]), feature + 1)
-    return (found.rlike(KNOWN) | (score > 0)) & found.rlike("[A-Za-z]")
+    text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
+
+    def told(kind: str) -> Column:
+        return F.transform(_candidates(text, kind), lambda p: F.struct(F.lit(kind).alias("kind"), *[p[x].alias(x) for x in ("found", "before", "after")]))
+
+    c = documents.select(F.explode(F.concat(*[told(k) for k in KINDS])).alias("c")).select("c.*")
+    around = [F.col(x) for x in ("found", "before", "after")]
+    held: list[Column] = []
+    for name, kind in KINDS.items():
+        own = [v.cast("int") for v in kind.votes(*around)] + [f.cast("int") for f, _ in kind.features(*around)]
+        for i, column in enumerate(own):
+            if i == len(held):
+                held.append(F.lit(0))
+            held[i] = F.when(F.col("kind") == name, column).otherwise(held[i])
+    names = [f"c{i}" for i in range(len(held))]
+    counted = c.select("kind", *[h.alias(n) for h, n in zip(held, names, strict=True)]).groupBy("kind", *names).count().collect()
+    rows: dict[str, list[tuple]] = {k: [] for k in KINDS}
+    for r in sorted(map(tuple, counted)):
+        rows[r[0]].append(r[1:])
+    return {k: _trained(rows[k], k) for k in KINDS}
+
+
+def score(found: Column, before: Column, after: Column, model: dict, kind: str = "secret") -> Column:
+    """Log odds that a candidate is of a kind."""
+    out = F.lit(float(model[kind]["intercept"]))
+    for vote, weights in zip(KINDS[kind].votes(found, before, after), model[kind]["votes"], strict=True):
+        out = out + F.element_at(F.array(*[F.lit(float(weights[x])) for x in (-1, 0, 1)]), vote + 2)
+    for (feature, _), weights in zip(KINDS[kind].features(found, before, after), model[kind]["features"], strict=True):
+        out = out + F.element_at(F.array(*[F.lit(float(w)) for w in weights]), feature + 1)
+    return out
+
+
+def _overlaps(s: Column, others: Column) -> Column:
+    return F.exists(others, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
 
 def detect(documents: DataFrame, text_column: str = "text", model: dict | None = None, base_column: str = "pii_base", spans_column: str = "pii_spans") -> DataFrame:
     """The documents with their base spans and all spans, as arrays of (kind, start, end)."""
+    return _detected(documents, text_column, model).select(
+        *[F.col(f"row.`{c}`").alias(c) for c in documents.columns],
+        F.col("base").alias(free_name(base_column, documents.columns)),
+        F.col("spans").alias(free_name(spans_column, [*documents.columns, base_column])),
+    )
+
+
+def _detected(documents: DataFrame, text_column: str, model: dict | None) -> DataFrame:
+    """``row`` (the input's columns), ``base, spans``."""
     model = model or fit(documents, text_column)
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
     base = F.concat(*[_spans(k, p) for k, p in _base(text).items()]).cast(SPANS)
-    secrets = F.filter(_candidates(text), lambda p: _is_secret(p["found"], p["before"], model))
-    return documents.withColumn(base_column, base).withColumn(
-        spans_column,
-        F.concat(
-            F.col(base_column),
-            F.filter(_spans("secret", secrets), lambda s: ~F.exists(F.col(base_column), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))),
-        ).cast(SPANS),
-    )
+    found = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), text.alias("text"), base.alias("base"))
+
+    def adding(kind: str) -> Callable[[Column], Column]:
+        own = F.filter(_candidates(F.col("text"), kind), lambda p: score(p["found"], p["before"], p["after"], model, kind) > 0)
+        return lambda held: F.concat(held, F.filter(_spans(kind, own).cast(SPANS), lambda s: ~_overlaps(s, held)))
+
+    spans = F.col("base")
+    for kind in KINDS:
+        # bound once, as the test looks at all spans so far for each
+        spans = let(spans, adding(kind))
+    return found.select("row", "base", spans.alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -255,14 +370,18 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(documents: DataFrame, text_column: str = "text", length_column: str | None = "n_chars") -> DataFrame:
     """The documents with their spans redacted; the columns of the input, the length anew. Null texts stay null."""
-    found = detect(documents, text_column, base_column="_pii_base", spans_column="_pii_spans")
-    clean = F.when(F.col(f"`{text_column}`").isNull(), F.lit(None)).otherwise(redacted(F.col(f"`{text_column}`"), F.col("_pii_spans")))
-    out = found.withColumn(text_column, clean)
-    if length_column in documents.columns:
-        kind = documents.schema[length_column].dataType
-        changed = F.size("_pii_spans") > 0
-        out = out.withColumn(length_column, F.when(changed, F.length(f"`{text_column}`").cast(kind)).otherwise(F.col(f"`{length_column}`")))
-    return out.select(*[F.col(f"`{c}`") for c in documents.columns])
+    text, spans = F.col(f"row.`{text_column}`"), F.col("spans")
+    clean = F.when(text.isNull(), F.lit(None)).otherwise(redacted(text, spans))
+    found = _detected(documents, text_column, None).select("row", "spans", clean.alias("clean"))
+
+    def column(name: str) -> Column:
+        if name == text_column:
+            return F.col("clean")
+        if name == length_column:
+            return F.when(F.size("spans") > 0, F.length("clean").cast(documents.schema[name].dataType)).otherwise(F.col(f"row.`{name}`"))
+        return F.col(f"row.`{name}`")
+
+    return found.select(*[column(c).alias(c) for c in documents.columns])
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
@@ -277,4 +396,5 @@ def op2(spark, sf_dir: str) -> DataFrame:
         F.sha2(shown(F.col("pii_base")), 256).alias("base_sha256"),
         shown(F.col("pii_spans")).alias("spans"),
         count("secret").alias("n_secret"),
+        count("name").alias("n_name"),
     )

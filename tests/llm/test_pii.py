@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pyarrow.parquet as pq
@@ -93,12 +94,64 @@ def test_secrets_in_prose_and_whole(spark):
 
 
 def test_reliabilities():
-    good = {(1, 1, 1, 1): 50, (-1, -1, -1, -1): 100, (0, 1, 1, -1): 5, (1, -1, 1, 1): 4}
+    good = {(1, 1, 1): 50, (-1, 0, 0): 100, (0, 1, 1): 5, (1, 0, 1): 4, (0, 0, 0): 200, (-1, 1, 0): 9}
     share, tables, posterior = pii.vote_reliabilities(good)
-    assert posterior[1, 1, 1, 1] > 0.99 and posterior[-1, -1, -1, -1] < 0.01 and 0.3 < share < 0.45
+    assert posterior[1, 1, 1] > 0.99 and posterior[-1, 0, 0] < 0.01 and posterior[0, 0, 0] < 0.3 and posterior[-1, 1, 0] < 0.1 and 0.1 < share < 0.4
     assert all(t[1, 1] > t[0, 1] for t in tables)
 
 
+def corpus(spark):
+    rng = random.Random(3)
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    plain = lambda: rng.choice(["reports/year_2024/part_3", "chapter-12-of-the-book", "src/main/java/App2.java", "www.example.com/page7/index", "first_draft_of_19_may"])
+    texts = [f'set token = "{hexed(40)}" here' for _ in range(60)] + [f"see {plain()} for more" for _ in range(500)] + [f"the key file {plain()} is old" for _ in range(60)]
+    texts += [f'with path = "{plain()}" set' for _ in range(60)]
+    given, family = ["Mary", "John", "Karen", "Zelda", "Ugo"], ["Smith", "Brown", "Okafor", "Lindqvist"]
+    person = lambda: f"{rng.choice(given)} {rng.choice(family)}"
+    texts += [f"we met Dr. {person()}, who was late" for _ in range(30)] + [f"hello, my name is {person()}, and so on" for _ in range(30)] + [f"then {person()} went home" for _ in range(40)]
+    texts += ["The Garden was open. In Spring it closed. Every Autumn Fair is full." for _ in range(150)]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+
+
+def spans_of(spark, model, cases):
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id int, text string")
+    return {cases[r.doc_id]: [(s.kind, cases[r.doc_id][s.start : s.end]) for s in r.pii_spans] for r in pii.detect(df, model=model).collect()}
+
+
+def test_classifier_overrules_labelers(spark):
+    """Two labelers of three say secret, none says no; what it is made of says no, and that is right."""
+    model = pii.fit(corpus(spark))
+    wrong, right = 'set token = "page7_of_the_x2_report_index"', 'set token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"'
+    df = spark.createDataFrame([(wrong,), (right,)], "text string").select(F.explode(pii._candidates(F.col("text"))).alias("c"))
+    votes = [v.alias(f"v{i}") for i, v in enumerate(pii._secret_votes(F.col("c.found"), F.col("c.before"), F.col("c.after")))]
+    assert sorted(map(tuple, df.select(*votes).collect())) == [(0, 1, 1), (1, 1, 1)]
+    got = spans_of(spark, model, [wrong, right])
+    assert got[wrong] == [] and got[right] == [("secret", right[13:-1])]
+
+
+def test_names(spark):
+    model = pii.fit(corpus(spark))
+    cases = {
+        "a letter to Dr. Ugo Okafor, in two parts": [("name", "Ugo Okafor")],
+        "hello, my name is Zelda Lindqvist, and so on": [("name", "Zelda Lindqvist")],
+        "we saw Mary J. Smith there": [("name", "Mary J. Smith")],
+        "The Garden was shut. In Spring it opens.": [],
+        "Every Autumn Fair is full.": [],
+        "write to John Brown at j.brown@example.org now": [("email", "j.brown@example.org"), ("name", "John Brown")],
+    }
+    got = spans_of(spark, model, list(cases))
+    assert got == cases
+
+
+def test_clashing_columns(spark):
+    names = ["doc_id", "text", "pii_base", "PII_spans", "row", "base", "spans", "clean", "n_chars"]
+    df = spark.createDataFrame([(1, "a@b.co", "x", "y", 1, 2, 3, 4, 6), (2, None, None, None, 1, 2, 3, 4, None)], "doc_id int, text string, pii_base string, PII_spans string, row int, base int, spans int, clean int, n_chars int")
+    got = pii.detect(df)
+    assert got.columns == [*names, "pii_base_2", "pii_spans_2"]
+    assert sorted((r.doc_id, r.pii_base, r.base, len(r.pii_spans_2)) for r in got.collect()) == [(1, "x", 2, 1), (2, None, 2, 0)]
+    assert sorted(map(tuple, pii.redact(df).collect())) == [(1, "<EMAIL>", "x", "y", 1, 2, 3, 4, 7), (2, None, None, None, 1, 2, 3, 4, None)]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, n_chars bigint")
     assert pii.detect(df).collect() == [] and pii.redact(df).collect() == []
