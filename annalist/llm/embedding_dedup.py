@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm.graph import connected_components, spread
+from annalist.llm.memory import trimmed
 from annalist.session import default_partitions, discard, materialize
 
 PROJECTIONS, SEED = 48, 11
@@ -230,7 +231,7 @@ def _classed(embeddings: DataFrame, id_column: str, vector_column: str) -> DataF
                 classes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if good else None)
             yield pa.RecordBatch.from_arrays([batch.column("id"), column, pa.array(classes, pa.binary())], names=["id", "embedding", "cls"])
 
-    return slim.mapInArrow(run, shape)
+    return slim.mapInArrow(trimmed(run), shape)
 
 
 def _linked(placed: DataFrame, cosine: float) -> DataFrame:
@@ -263,7 +264,7 @@ def _linked(placed: DataFrame, cosine: float) -> DataFrame:
         if held:
             yield finish()
 
-    return placed.mapInArrow(run, "cls binary, links bigint, least binary")
+    return placed.mapInArrow(trimmed(run), "cls binary, links bigint, least binary")
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:

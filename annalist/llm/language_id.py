@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from annalist.llm.memory import trimmed
 from annalist.llm.names import free_name
 from annalist.session import discard, materialize
 
@@ -184,7 +185,7 @@ def train(documents: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], names=["lang", "key", "n"])
 
     # of each language no more windows leave the executors than its table could have use for; the sample bounds what is ranked
-    rows = drawn.mapInArrow(count, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    rows = drawn.mapInArrow(trimmed(count), "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
     rows = rows.withColumn("rank", rank).where(F.col("rank") <= TABLE_BYTES // 8).select("lang", "key", "n").toArrow().combine_chunks()
     names = rows.column("lang").to_numpy(zero_copy_only=False).astype(str)
@@ -245,7 +246,7 @@ def predict(documents: DataFrame, trees: Trees, text_column: str = "text", label
                 names=result,
             )
 
-    return marked.mapInArrow(run, schema)
+    return marked.mapInArrow(trimmed(run), schema)
 
 
 def keep_identified(documents: DataFrame, trees: Trees | None = None, text_column: str = "text") -> DataFrame:

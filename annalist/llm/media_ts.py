@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annalist.llm.memory import trimmed
+
 PACKET, BODY, SYNC = 188, 184, 0x47
 PMT_PID, STREAM_PID = 0x1000, 0x0100
 PROGRAM, PRIVATE_DATA, PRIVATE_STREAM = 1, 0x06, 0xBD
@@ -255,7 +257,7 @@ def mux(documents: DataFrame, id_column: str = "doc_id", text_column: str = "tex
                     [part.column("id"), pa.array([len(x) for x in data], pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"]
                 )
 
-    return slim.mapInArrow(run, f"id {kind}, n_bytes bigint, media binary").withColumnRenamed("id", id_column)
+    return slim.mapInArrow(trimmed(run), f"id {kind}, n_bytes bigint, media binary").withColumnRenamed("id", id_column)
 
 
 def demux(media: DataFrame, id_column: str = "doc_id", media_column: str = "media", keep_payload: bool = True) -> DataFrame:
@@ -300,7 +302,7 @@ def demux(media: DataFrame, id_column: str = "doc_id", media_column: str = "medi
                     ),
                 )
 
-    return slim.mapInArrow(run, schema).withColumnRenamed("id", id_column)
+    return slim.mapInArrow(trimmed(run), schema).withColumnRenamed("id", id_column)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

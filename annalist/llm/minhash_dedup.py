@@ -44,6 +44,7 @@ from pyspark.sql.types import MapType
 
 from annalist.llm import words
 from annalist.llm.graph import connected_components, spread
+from annalist.llm.memory import trimmed
 from annalist.llm.tokens import batches_by_bytes
 from annalist.session import default_partitions, discard, materialize
 
@@ -146,7 +147,7 @@ def _classes(documents: DataFrame, size: int, width: int, bins: int = BINS) -> D
                     names=["id", "key", "cls", "n", "bands"],
                 )
 
-    return documents.mapInArrow(run, f"id {kind}, key {key}, cls binary, n bigint, bands array<bigint>")
+    return documents.mapInArrow(trimmed(run), f"id {kind}, key {key}, cls binary, n bigint, bands array<bigint>")
 
 
 def _sets_of(documents: DataFrame, size: int) -> DataFrame:
@@ -162,7 +163,7 @@ def _sets_of(documents: DataFrame, size: int) -> DataFrame:
                     [pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in raw], pa.binary()), pa.array(raw, pa.binary())], names=["cls", "shingles"]
                 )
 
-    return documents.mapInArrow(run, "cls binary, shingles binary")
+    return documents.mapInArrow(trimmed(run), "cls binary, shingles binary")
 
 
 def linked(sets: list[np.ndarray], numerator: int, denominator: int = 100, halves: np.ndarray | None = None) -> list[int]:
@@ -244,7 +245,7 @@ def _confirmed(groups: DataFrame, numerator: int) -> DataFrame:
         if u:
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
-    return groups.mapInArrow(run, "u binary, v binary")
+    return groups.mapInArrow(trimmed(run), "u binary, v binary")
 
 
 def _linked_by_band(banded: DataFrame, name: str) -> DataFrame:

@@ -49,6 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.llm import tokens
+from annalist.llm.memory import trimmed
 from annalist.llm.mixing import source_key
 from annalist.session import materialize
 
@@ -104,7 +105,7 @@ def encoded(documents: DataFrame, vocabulary: str, id_column: str, text_column:
                     names=["id", "part", "queue", "at", "n", "ids"],
                 )
 
-    return slim.mapInArrow(run, ENCODED.format(kind=kind))
+    return slim.mapInArrow(trimmed(run), ENCODED.format(kind=kind))
 
 
 class Mirror:
@@ -311,7 +312,7 @@ def pack(
                 names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
             )
 
-    return placed.mapInArrow(run, PIECES.format(kind=kind)).withColumnRenamed("id", id_column)
+    return placed.mapInArrow(trimmed(run), PIECES.format(kind=kind)).withColumnRenamed("id", id_column)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm import words
+from annalist.llm.memory import trimmed
 from annalist.llm.tokens import batches_by_bytes
 from annalist.session import discard, materialize
 
@@ -153,7 +154,7 @@ def remove_references(
                 names=["id", "n_words", "n_removed", "spans", "kept_text"],
             )
 
-    return slim.mapInArrow(run, f"id {kind}, n_words bigint, n_removed bigint, spans array<string>, kept_text string").withColumnRenamed("id", id_column)
+    return slim.mapInArrow(trimmed(run), f"id {kind}, n_words bigint, n_removed bigint, spans array<string>, kept_text string").withColumnRenamed("id", id_column)
 
 
 # --- the corpus as its own reference -----------------------------------------
@@ -195,7 +196,7 @@ def _document_anchors(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), batch.column("id").take(pa.array(rows))], names=["anchor", "id"])
 
     kind = documents.schema["id"].dataType.simpleString()
-    return documents.where("id is not null and text is not null").mapInArrow(run, f"anchor bigint, id {kind}")
+    return documents.where("id is not null and text is not null").mapInArrow(trimmed(run), f"anchor bigint, id {kind}")
 
 
 def _windows(candidates: DataFrame) -> DataFrame:
@@ -226,7 +227,7 @@ def _windows(candidates: DataFrame) -> DataFrame:
                     )
 
     kind = candidates.schema["id"].dataType.simpleString()
-    return candidates.mapInArrow(run, f"hi bigint, lo bigint, id {kind}")
+    return candidates.mapInArrow(trimmed(run), f"hi bigint, lo bigint, id {kind}")
 
 
 def _kept(documents: DataFrame, keep_text: bool) -> DataFrame:
@@ -260,7 +261,7 @@ def _kept(documents: DataFrame, keep_text: bool) -> DataFrame:
                 )
 
     kind = documents.schema["id"].dataType.simpleString()
-    return documents.mapInArrow(run, f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    return documents.mapInArrow(trimmed(run), f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
 
 
 def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = True) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm import tokens
+from annalist.llm.memory import trimmed
 
 BATCH_BYTES = 1 << 20
 LIMIT = 1024
@@ -47,7 +48,7 @@ def count_tokens(
                 names=["id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return slim.mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean").withColumnRenamed("id", id_column)
+    return slim.mapInArrow(trimmed(run), f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean").withColumnRenamed("id", id_column)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

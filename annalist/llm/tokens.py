@@ -13,11 +13,11 @@ from __future__ import annotations
 import array
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 #: Entries of a worker's cache, some 200 bytes each. It has two generations: when the young one
 #: holds half of these, it becomes the old one, and what is still used moves to the next.
-CACHE = 700_000
+CACHE = 600_000
 #: Longer pieces are encoded each time, so that a cache entry is bounded.
 LONGEST = 48
 SPECIAL = "<|"
@@ -133,6 +133,22 @@ class ByteLevelCounter:
         return out
 
 
+class _Pieces(dict):
+    """Ids by piece; what is missing is looked up in the old generation, or made."""
+
+    def __init__(self, make: Callable[[str], bytes], old: dict[str, bytes]):
+        self.make, self.old = make, old
+        self[""] = b""
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(piece) <= LONGEST:
+            self[piece] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids of a word-level BPE that drops white space: the text may be cut at every space and line end."""
 
@@ -140,12 +156,29 @@ class WordEncoder:
         self.tokenizer, self.limit = load(path), cache
         self.merge = self.tokenizer.model.tokenize
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
-        self.known: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        self.kind = "I" if self.wide else "H"
+        self.known = _Pieces(self._ids, {})
 
     # Not Latin; and a comma or stop before a space that ends a longer run of marks.
-    _other = re.compile(r"[^\x00-ɏ]|<\|")
-    _run = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ɏ][,.] ")
+    _other = re.compile(r"[^\x00-ɏ]")
+    _run = re.compile(r"[,.] (?<![A-Za-z0-9À-ÖØ-öø-ɏ][,.] )")
+
+    def _latin(self, text: str) -> bool:
+        if text.isascii():
+            return True
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return not self._other.search(text)
+        return True
+
+    def _ids(self, piece: str) -> bytes:
+        if one_word(piece) and piece.islower():
+            # straight to the merges: one pre-token that normalisation leaves as it is
+            ids = [t.id for t in self.merge(piece if piece.isascii() else written(piece))]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return array.array(self.kind, ids).tobytes()
 
     def _pieces(self, text: str) -> list[str]:
         """Pieces that no token reaches across.
@@ -154,7 +187,7 @@ class WordEncoder:
         stops are set apart from words, so that one word is one piece.
         """
         text = text.replace("\n", " ")
-        if not self._other.search(text):
+        if SPECIAL not in text and self._latin(text):
             text = text.lower()
             if not self._run.search(text):
                 text = text.replace(", ", " , ").replace(". ", " . ")
@@ -162,27 +195,10 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian bytes, of two bytes an id, or four for large vocabularies."""
-        kind = "I" if self.wide else "H"
         if len(self.known) > self.limit // 2:
-            self.known, self.old = {"": b""}, self.known
-        split = [self._pieces(t) for t in texts]
-        unseen = set().union(*split)
-        unseen = list(unseen.difference(self.known) if len(unseen) < len(self.known) else unseen - self.known.keys())
-        extra, rest = {}, []
-        for p in unseen:
-            if p in self.old:
-                self.known[p] = self.old[p]
-            elif one_word(p) and p.islower():
-                # straight to the merges: one pre-token that normalisation leaves as it is
-                ids = [t.id for t in self.merge(p if p.isascii() else written(p))]
-                (extra if len(p) > LONGEST else self.known)[p] = array.array(kind, ids).tobytes()
-            else:
-                rest.append(p)
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            (extra if len(p) > LONGEST else self.known)[p] = array.array(kind, e.ids).tobytes()
-        if not extra:
-            return [b"".join(map(self.known.__getitem__, s)) for s in split]
-        return [b"".join([self.known[p] if p in self.known else extra[p] for p in s]) for s in split]
+            self.known = _Pieces(self._ids, dict(self.known))
+        look = self.known.__getitem__
+        return [b"".join(map(look, self._pieces(t))) for t in texts]
 
 
 def batches_by_bytes(sizes: list[int], most: int) -> Iterable[tuple[int, int]]:
