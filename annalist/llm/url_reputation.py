@@ -6,10 +6,18 @@ towards its suffix and of each host towards its domain, through beta-binomial
 priors whose strengths the data give. A host is blocked when the lower bound of
 its posterior lies above a threshold. All built-in functions.
 
+Reputation is of the name in a host: without user, port and final dot. A
+suffix is the longest of ``SUFFIXES`` that a name ends with, or its last label,
+and the registered domain has one label more, so that unrelated owners under
+``co.uk`` or ``github.io`` share a suffix and not a domain. An address in
+numbers is its own domain, under the suffix ``ADDRESS``.
+
 Defined results: a null url, or one without ``://``, has an empty host and
 path, fits no rule and is judged like any other host; pages without labels
 leave the posterior at the prior; without any labels the prior is even, which
-blocks nothing; repeated pages count each; an empty table gives an empty table.
+blocks nothing; repeated pages count each, as do pages with a null id, which
+have no label; several labels of a page are one outcome, bad if any is; an
+empty table gives an empty table; other columns of pages and labels are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist.llm.graph import spread
 from annalist.session import materialize
 
 # Fixed values: (verdict, host, path) of the rules.
@@ -29,6 +38,18 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
+# Suffixes of two labels under which anyone may register, from registries and from hosting services.
+SUFFIXES = (
+    "ac.jp", "ac.nz", "ac.uk", "ac.za", "appspot.com", "azurewebsites.net", "blogspot.com", "co.id", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk",
+    "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.pe", "com.pl", "com.sa", "com.sg", "com.tr", "com.tw",
+    "com.ua", "com.ve", "edu.au", "edu.cn", "github.io", "gitlab.io", "go.jp", "gov.au", "gov.br", "gov.cn", "gov.uk", "govt.nz", "herokuapp.com", "ltd.uk", "me.uk",
+    "ne.jp", "net.au", "net.br", "net.cn", "net.in", "net.nz", "net.uk", "netlify.app", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.il", "org.in", "org.nz",
+    "org.tw", "org.uk", "org.za", "pages.dev", "plc.uk", "vercel.app", "web.app", "wordpress.com",
+)
+ADDRESS = "(address)"
+#: User, port and final dot of a host; addresses; names that end with a listed suffix.
+USER, PORT, NUMERIC = r"^.*@", r":[0-9]*$", r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\]?)$"
+LISTED = "(" + "|".join(s.replace(".", r"\.") for s in SUFFIXES) + ")$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 THRESHOLD = 0.5
 Z = 1.645
@@ -43,6 +64,19 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(raw, UPPER, LOWER), path
 
 
+def site(host: Column) -> Column:
+    """The name or address in a host."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, USER, ""), PORT, ""), r"\.$", "")
+
+
+def domain_and_suffix(name: Column) -> tuple[Column, Column]:
+    """Registered domain and suffix of a name."""
+    address, listed = name.rlike(NUMERIC), name.rlike(r"(^|\.)" + LISTED)
+    domain = F.when(address, name).when(listed, F.regexp_extract(name, r"([^.]+\.)?" + LISTED, 0)).otherwise(F.regexp_extract(name, r"([^.]*\.)?[^.]*$", 0))
+    suffix = F.when(address, F.lit(ADDRESS)).when(listed, F.regexp_extract(name, LISTED, 0)).otherwise(F.regexp_extract(name, r"[^.]*$", 0))
+    return domain, suffix
+
+
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits a host or a parent of it, and the beginning of a path."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -61,31 +95,31 @@ def _strength(x: str, n: str, mean: str) -> Column:
     return ((1 - rho) / rho).alias("k")
 
 
-def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
-    """``host, n, x`` (labelled pages, bad ones) to ``host, bad_rate, lower``: posterior mean and lower bound.
+def site_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
+    """``site, n, x`` (labelled pages, bad ones) to ``site, bad_rate, lower``: posterior mean and lower bound.
 
-    The counts arrive combined per host. Hosts join their domains and domains
-    their suffixes by shuffle or, where the statistics of the running query
-    show a small side, by broadcast; the strengths are one row each.
+    The counts arrive combined per site. Each level is written once, as the
+    one below reads its means and the level itself its strength, which is one
+    row. Sites join their domains, and domains their suffixes, by shuffle, or
+    by broadcast where the written side is small.
     """
-    hosts = (
-        outcomes.withColumn("domain", F.regexp_extract("host", r"[^.]*\.[^.]*$|^[^.]*$", 0))
-        .withColumn("suffix", F.regexp_extract("host", r"[^.]*$", 0))
-    )
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("x").alias("dx"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dx").alias("sx"))
+    domain, suffix = domain_and_suffix(F.col("site"))
+    sites = outcomes.select("site", "n", "x", domain.alias("domain"), suffix.alias("suffix"))
+    domains = materialize(sites.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("x").alias("dx")), "domains")
+    suffixes = materialize(domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dx").alias("sx")), "suffixes")
     root = suffixes.agg(((F.coalesce(F.sum("sx"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("sn"), F.lit(0)) + 2.0)).alias("m0"))
 
     def shrunk(units: DataFrame, x: str, n: str, mean: str, out: str) -> DataFrame:
+        units = materialize(units, out)
         k = units.agg(_strength(x, n, mean))
         return units.crossJoin(F.broadcast(k)).withColumn(out, (F.col(x) + F.col("k") * F.col(mean)) / (F.col(n) + F.col("k")))
 
     suffixes = shrunk(suffixes.crossJoin(F.broadcast(root)), "sx", "sn", "m0", "ms").select("suffix", "ms")
-    domains = shrunk(domains.join(suffixes, "suffix"), "dx", "dn", "ms", "md").select("domain", "suffix", "md")
-    hosts = shrunk(hosts.join(domains, ["domain", "suffix"]), "x", "n", "md", "bad_rate")
+    domains = shrunk(spread(domains, suffixes, "suffix"), "dx", "dn", "ms", "md").select(F.struct("domain", "suffix").alias("of"), "md")
+    sites = shrunk(spread(sites.withColumn("of", F.struct("domain", "suffix")), domains, "of").drop("of"), "x", "n", "md", "bad_rate")
     a, b = F.col("x") + F.col("k") * F.col("md"), F.col("n") - F.col("x") + F.col("k") * (1 - F.col("md"))
     deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return hosts.select("host", "bad_rate", (F.col("bad_rate") - z * deviation).alias("lower"))
+    return sites.select("site", "bad_rate", (F.col("bad_rate") - z * deviation).alias("lower"))
 
 
 def judge(
@@ -100,13 +134,14 @@ def judge(
     pages = pages.select("page_id", host.alias("host"), path.alias("path"))
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
     outcome = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")).where("bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    counts = pages.join(outcome, "page_id", "left").groupBy("host").agg(
+    counts = pages.join(outcome, "page_id", "left").groupBy(site(F.col("host")).alias("site")).agg(
         F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("x")
     )
     # every level of the shrinkage starts from these counts: written once, pages and labels are read once for them
-    counts = materialize(counts, "hosts")
+    counts = materialize(counts, "sites")
     rule, said = matching_rule(F.col("host"), F.col("path"), rules)
-    return pages.join(host_reputation(counts, z), "host").select(
+    judged = materialize(site_reputation(counts, z), "reputation")
+    return pages.withColumn("site", site(F.col("host"))).join(judged, "site").select(
         "page_id",
         "host",
         "path",
@@ -132,8 +167,12 @@ WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substring(url,
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}') AS host,
   regexp_extract(substring(rest, length(regexp_extract(rest, '^[^/?#]*', 0)) + 1), '^[^?#]*', 0) AS path FROM u),
 o AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
-h AS (SELECT host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS x,
-  regexp_extract(host, '[^.]*\\.[^.]*$|^[^.]*$', 0) AS domain, regexp_extract(host, '[^.]*$', 0) AS suffix FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+ps AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '{USER}', ''), '{PORT}', ''), '\\.$', '') AS site FROM p),
+h0 AS (SELECT site, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS x FROM ps LEFT JOIN o USING (page_id) GROUP BY site),
+h AS (SELECT *, CASE WHEN regexp_matches(site, '{NUMERIC}') THEN site WHEN regexp_matches(site, '(^|\\.){LISTED}') THEN regexp_extract(site, '([^.]+\\.)?{LISTED}', 0)
+    ELSE regexp_extract(site, '([^.]*\\.)?[^.]*$', 0) END AS domain,
+  CASE WHEN regexp_matches(site, '{NUMERIC}') THEN '{ADDRESS}' WHEN regexp_matches(site, '(^|\\.){LISTED}') THEN regexp_extract(site, '{LISTED}', 0)
+    ELSE regexp_extract(site, '[^.]*$', 0) END AS suffix FROM h0),
 d0 AS (SELECT domain, suffix, sum(n) AS dn, sum(x) AS dx FROM h GROUP BY domain, suffix),
 s0 AS (SELECT suffix, sum(dn) AS sn, sum(dx) AS sx FROM d0 GROUP BY suffix),
 r AS (SELECT (coalesce(sum(sx), 0) + 1.0) / (coalesce(sum(sn), 0) + 2.0) AS m0 FROM s0),
@@ -142,14 +181,14 @@ s AS (SELECT suffix, (sx + k * m0) / (sn + k) AS ms FROM s1 CROSS JOIN {_sql_str
 d1 AS (SELECT d0.*, ms FROM d0 JOIN s USING (suffix)),
 d AS (SELECT domain, suffix, (dx + k * ms) / (dn + k) AS md FROM d1 CROSS JOIN {_sql_strength("dx", "dn", "ms", "d1")}),
 h1 AS (SELECT h.*, md FROM h JOIN d USING (domain, suffix)),
-h2 AS (SELECT host, x + k * md AS a, n - x + k * (1 - md) AS b FROM h1 CROSS JOIN {_sql_strength("x", "n", "md", "h1")}),
-rep AS (SELECT host, a / (a + b) AS bad_rate, a / (a + b) - {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower FROM h2),
+h2 AS (SELECT site, x + k * md AS a, n - x + k * (1 - md) AS b FROM h1 CROSS JOIN {_sql_strength("x", "n", "md", "h1")}),
+rep AS (SELECT site, a / (a + b) AS bad_rate, a / (a + b) - {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower FROM h2),
 j AS (SELECT page_id, host, path, bad_rate, lower, CASE
   WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
   WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
   WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
   WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
-  WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM p JOIN rep USING (host))
+  WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM ps JOIN rep USING (site))
 SELECT page_id, host, path, rule, CASE rule WHEN 'com/' THEN 'allow' WHEN 'example.com/en/' THEN 'block' WHEN 'www.example.com/en/' THEN 'allow'
   WHEN 'net/es/' THEN 'block' WHEN 'net/fr/' THEN 'block' ELSE CASE WHEN lower > {THRESHOLD} THEN 'block' ELSE 'allow' END END AS verdict,
   round(bad_rate, 6) AS bad_rate FROM j
