@@ -1,16 +1,19 @@
 """Media columns: MPEG transport streams in binary columns.
 
-``mux`` stores byte payloads as transport streams: program tables, and one
-elementary stream of packetised access units with time stamps and random-access
-points. ``demux`` reads any such column back: it parses the program tables with
-their check sums, follows continuity counters, reassembles the elementary
-packets and returns payload, time stamps and random-access points. Both are
-narrow Arrow passes whose memory is bounded by one batch and one stream.
+``mux`` stores byte payloads as transport streams: one elementary stream of
+packetised access units with time stamps, a clock reference with each, and
+random-access points, in front of which the program tables are repeated, so
+that a reader may start at any of them. Units are shown in the order of their
+coding, so they carry no decoding time of their own. ``demux`` reads any such
+column back: it parses the program tables with their check sums, follows
+continuity counters, reassembles the elementary packets and returns payload,
+clock references, time stamps and random-access points. Both are narrow Arrow
+passes; rows are handled some ``BATCH_BYTES`` at a time, or one where it is longer.
 
 Defined results: a null payload counts as empty; a null stream, or one without
 a readable program table, gives an empty payload, no units and its errors in
 ``errors``; repeated rows are handled each; empty tables give empty tables;
-extra columns are kept by neither, only the id goes along.
+extra columns are kept by neither, whatever their names, only the id goes along.
 """
 
 from __future__ import annotations
@@ -25,14 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm.memory import trimmed
+from annalist.llm.tokens import batches_by_bytes
 
 PACKET, BODY, SYNC = 188, 184, 0x47
 PMT_PID, STREAM_PID = 0x1000, 0x0100
 PROGRAM, PRIVATE_DATA, PRIVATE_STREAM = 1, 0x06, 0xBD
 UNIT = 8192
-#: 90 kHz ticks between units, and units between random-access points.
-TICKS, ACCESS_EVERY = 3600, 16
+#: 90 kHz ticks between units, and from a unit's clock reference to its time stamp; units between random-access points.
+TICKS, DELAY, ACCESS_EVERY = 3600, 9000, 8
 PADDING = 64
+BATCH_BYTES = 1 << 22
 
 
 def _crc_table() -> list[int]:
@@ -63,25 +68,30 @@ def _section(table_id: int, number: int, body: bytes) -> bytes:
     return head + body + crc32_mpeg(head + body).to_bytes(4, "big")
 
 
-def _table_packet(pid: int, section: bytes) -> bytes:
-    head = bytes([SYNC]) + (0x4000 | pid).to_bytes(2, "big") + b"\x10\x00"
+def _table_packet(pid: int, section: bytes, counter: int) -> bytes:
+    head = bytes([SYNC]) + (0x4000 | pid).to_bytes(2, "big") + bytes([0x10 | counter]) + b"\x00"
     return (head + section).ljust(PACKET, b"\xff")
 
 
-TABLES = _table_packet(0, _section(0, 1, PROGRAM.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))) + _table_packet(
-    PMT_PID,
-    _section(2, PROGRAM, (0xE000 | STREAM_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([PRIVATE_DATA]) + (0xE000 | STREAM_PID).to_bytes(2, "big") + b"\xf0\x00"),
-)
+_ASSOCIATION = _section(0, 1, PROGRAM.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))
+_MAP = _section(2, PROGRAM, (0xE000 | STREAM_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([PRIVATE_DATA]) + (0xE000 | STREAM_PID).to_bytes(2, "big") + b"\xf0\x00")
+#: The program tables, for each value of their continuity counters.
+TABLES = [_table_packet(0, _ASSOCIATION, i) + _table_packet(PMT_PID, _MAP, i) for i in range(16)]
 
 
 def pts_bytes(pts: int) -> bytes:
     return bytes([0x21 | (pts >> 29 & 0x0E), pts >> 22 & 0xFF, pts >> 14 & 0xFE | 1, pts >> 7 & 0xFF, pts << 1 & 0xFE | 1])
 
 
-def _packets(data: bytes, counter: int, access: bool) -> bytes:
-    """Transport packets of one elementary packet, the last one stuffed."""
-    room = BODY - 2 if access else BODY
-    begin = min(len(data), room)
+def pcr_bytes(base: int) -> bytes:
+    """A clock reference of 90 kHz ticks: 33 bits, six reserved ones, and no 27 MHz ticks beyond."""
+    return (base << 15 | 0x7E00).to_bytes(6, "big")
+
+
+def _packets(data: bytes, counter: int, access: bool, clock: int) -> bytes:
+    """Transport packets of one elementary packet: the first with the clock reference, the last one stuffed."""
+    first = bytes([0x50 if access else 0x10]) + pcr_bytes(clock)
+    begin = min(len(data), BODY - 1 - len(first))
     whole = (len(data) - begin) // BODY
     rest = len(data) - begin - whole * BODY
     n = 1 + whole + (rest > 0)
@@ -94,26 +104,28 @@ def _packets(data: bytes, counter: int, access: bool) -> bytes:
     x = np.frombuffer(data, np.uint8)
     if whole:
         out[1 : 1 + whole, 4:] = x[begin : begin + whole * BODY].reshape(whole, BODY)
-    for row, part, flags in ((0, x[:begin], 0x40 if access else 0),) + (((n - 1, x[len(x) - rest :], 0),) if rest else ()):
+    for row, part, head in ((0, x[:begin], first),) + (((n - 1, x[len(x) - rest :], b"\x00"),) if rest else ()):
         field = BODY - len(part)
         if field:
             out[row, 3] |= 0x20
             out[row, 4] = field - 1
             if field > 1:
-                out[row, 5] = flags
+                out[row, 5 : 5 + len(head)] = np.frombuffer(head, np.uint8)
         out[row, PACKET - len(part) :] = part
     return out.tobytes()
 
 
 def write_stream(payload: bytes, unit: int = UNIT) -> bytes:
     """A payload as a transport stream; the unit is at most 65,000 bytes."""
-    parts, counter = [TABLES], 0
+    parts, counter = [], 0
     for i, at in enumerate(range(0, len(payload), unit)):
-        own = payload[at : at + unit]
-        head = b"\x00\x00\x01" + bytes([PRIVATE_STREAM]) + (len(own) + 8).to_bytes(2, "big") + b"\x80\x80\x05" + pts_bytes(i * TICKS & (1 << 33) - 1)
-        parts.append(_packets(head + own, counter, i % ACCESS_EVERY == 0))
+        if i % ACCESS_EVERY == 0:
+            parts.append(TABLES[i // ACCESS_EVERY & 15])
+        own, clock = payload[at : at + unit], i * TICKS & (1 << 33) - 1
+        head = b"\x00\x00\x01" + bytes([PRIVATE_STREAM]) + (len(own) + 8).to_bytes(2, "big") + b"\x80\x80\x05" + pts_bytes(clock + DELAY & (1 << 33) - 1)
+        parts.append(_packets(head + own, counter, i % ACCESS_EVERY == 0, clock))
         counter = (counter + len(parts[-1]) // PACKET) & 15
-    return b"".join(parts)
+    return b"".join(parts) or TABLES[0]
 
 
 # --- reading ----------------------------------------------------------------
@@ -123,6 +135,7 @@ class Stream(NamedTuple):
     payload: bytes
     sizes: list[int]
     pts: list[int | None]
+    pcr: list[int | None]
     access: list[bool]
     packets: int
     lost: int
@@ -179,7 +192,7 @@ def read_stream(data: bytes | None) -> Stream:
         at = np.flatnonzero((pid == of) & body)
         return _read_section(rows[at], start[at], unit[at])
 
-    nothing = Stream(b"", [], [], [], packets, 0, 0, errors)
+    nothing = Stream(b"", [], [], [], [], packets, 0, 0, errors)
     pat = section(0)
     programs = [int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF for i in range(8, len(pat) - 4, 4) if pat[i : i + 2] != b"\x00\x00"] if pat and pat[0] == 0 else []
     if not programs:
@@ -213,7 +226,8 @@ def read_stream(data: bytes | None) -> Stream:
     ends = np.cumsum(PACKET - start)
     firsts = np.flatnonzero(unit)
     begins = (ends[firsts] - (PACKET - start[firsts])).tolist()
-    parts, sizes, times, points = [], [], [], []
+    clocked = field & (start > 11) & (rows[:, 5] & 0x10 != 0)
+    parts, sizes, times, clocks, points = [], [], [], [], []
     for i, b in enumerate(begins):
         stop = begins[i + 1] if i + 1 < len(begins) else len(flat)
         head = flat[b : b + 19]
@@ -228,8 +242,9 @@ def read_stream(data: bytes | None) -> Stream:
         parts.append(flat[b + 9 + head[8] : stop])
         sizes.append(len(parts[-1]))
         times.append(_pts(head[9:14]) if head[7] & 0x80 and len(head) >= 14 else None)
+        clocks.append(int.from_bytes(rows[firsts[i], 6:12].tobytes(), "big") >> 15 if clocked[firsts[i]] else None)
         points.append(bool(access[firsts[i]]))
-    return Stream(b"".join(parts), sizes, times, points, packets, lost, duplicates, errors)
+    return Stream(b"".join(parts), sizes, times, clocks, points, packets, lost, duplicates, errors)
 
 
 # --- columns ----------------------------------------------------------------
@@ -247,10 +262,11 @@ def mux(documents: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a, b in batches_by_bytes(pc.binary_length(batch.column("data")).to_pylist(), BATCH_BYTES):
+                part = batch.slice(a, b - a)
                 data = part.column("data").to_pylist()
                 media = [write_stream(padded(x)) for x in data]
                 yield pa.RecordBatch.from_arrays(
@@ -266,16 +282,17 @@ def demux(media: DataFrame, id_column: str = "doc_id", media_column: str = "medi
     kind = slim.schema["id"].dataType.simpleString()
     schema = (
         f"id {kind}, payload binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, "
-        "sizes array<bigint>, pts array<bigint>, access array<bigint>, packets bigint, lost bigint, duplicates bigint, errors array<string>"
+        "sizes array<bigint>, pts array<bigint>, pcr array<bigint>, access array<bigint>, packets bigint, lost bigint, duplicates bigint, errors array<string>"
     )
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         longs = pa.list_(pa.int64())
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a, b in batches_by_bytes(pc.fill_null(pc.binary_length(batch.column("media")), 0).to_pylist(), BATCH_BYTES):
+                part = batch.slice(a, b - a)
                 stored = part.column("media").to_pylist()
                 found = [read_stream(x) for x in stored]
                 yield pa.RecordBatch.from_arrays(
@@ -289,6 +306,7 @@ def demux(media: DataFrame, id_column: str = "doc_id", media_column: str = "medi
                         pa.array([hashlib.sha256(x or b"").hexdigest() for x in stored], pa.string()),
                         pa.array([s.sizes for s in found], longs),
                         pa.array([s.pts for s in found], longs),
+                        pa.array([s.pcr for s in found], longs),
                         pa.array([[i for i, x in enumerate(s.access) if x] for s in found], longs),
                         pa.array([s.packets for s in found], pa.int64()),
                         pa.array([s.lost for s in found], pa.int64()),
@@ -297,7 +315,7 @@ def demux(media: DataFrame, id_column: str = "doc_id", media_column: str = "medi
                     ],
                     schema=pa.schema(
                         [("id", batch.schema.field("id").type), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
-                         ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("sizes", longs), ("pts", longs), ("access", longs), ("packets", pa.int64()), ("lost", pa.int64()),
+                         ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("sizes", longs), ("pts", longs), ("pcr", longs), ("access", longs), ("packets", pa.int64()), ("lost", pa.int64()),
                          ("duplicates", pa.int64()), ("errors", pa.list_(pa.string()))]
                     ),
                 )
@@ -316,6 +334,7 @@ def op3(spark, sf_dir: str) -> DataFrame:
         F.concat(F.lit("units="), F.size("pts")),
         F.concat(F.lit("access="), F.size("access")),
         F.concat(F.lit("pts="), F.element_at("pts", 1), F.lit("-"), F.element_at("pts", -1)),
+        F.concat(F.lit("pcr="), F.element_at("pcr", 1), F.lit("-"), F.element_at("pcr", -1)),
         F.concat(F.lit("packets="), F.col("packets")),
         F.concat(F.lit("lost="), F.col("lost")),
         F.concat(F.lit("errors="), F.size("errors")),

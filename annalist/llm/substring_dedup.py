@@ -2,12 +2,13 @@
 
 Two operators:
 
-``remove_references`` takes a bounded reference table (benchmarks, licences).
-Its texts are cut into shards, each shard becomes a suffix automaton over
-words, the automata are broadcast, and documents stream past them for matching
-statistics: the length of the longest match that ends at each word. Maximal
-spans above the threshold are removed. The references' words are counted first
-and may not exceed ``MOST_REFERENCE_WORDS``.
+``remove_references`` takes a reference table (benchmarks, licences). Its texts
+are cut into shards, each shard becomes a suffix automaton over words, the
+automata are broadcast, and documents stream past them for matching statistics:
+the length of the longest match that ends at each word. Spans above the
+threshold are removed. Automata of at most ``PASS_WORDS`` words are held and
+broadcast at a time; a larger table takes several passes over the documents,
+whose spans add up, so there is no limit to it but time.
 
 ``remove_repeats`` takes the corpus itself as reference: a word goes when a
 window of ``WINDOW`` words that covers it also starts in a document with a
@@ -32,6 +33,7 @@ gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import compress
 
@@ -46,7 +48,9 @@ from annalist.session import discard, materialize
 
 WINDOW, ANCHOR = 13, 5
 BATCH_BYTES = 1 << 20
-SHARD_WORDS, MOST_REFERENCE_WORDS = 100_000, 2_000_000
+_SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Words of references in an automaton, and in all automata of one pass; a word takes some 335 bytes.
+SHARD_WORDS, PASS_WORDS = 100_000, 500_000
 
 
 # --- suffix automata of references -------------------------------------------
@@ -109,52 +113,98 @@ def automaton(texts: list[list[bytes]]) -> SuffixAutomaton:
     return out
 
 
+def _shards(references: DataFrame, least: int) -> Iterator[list[list[bytes]]]:
+    """Texts of references, some ``SHARD_WORDS`` words at a time, read one after another.
+
+    Longer texts are cut into pieces that overlap by ``least - 1`` words, so each run of ``least`` words is whole in one.
+    """
+    held, size = [], 0
+    for row in references.toLocalIterator():
+        own = _SPLIT.findall(row["text"].encode())
+        for a in range(0, max(1, len(own) - least + 1), SHARD_WORDS):
+            held.append(own[a : a + SHARD_WORDS + least - 1])
+            size += len(held[-1])
+            if size >= SHARD_WORDS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _marked(frame: DataFrame, automata: list, least: int) -> DataFrame:
+    """The frame with the spans of matches with broadcast automata added: begins and ends in turn, ascending and apart."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            spans = []
+            for text, before in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                text = _SPLIT.findall(text.encode())
+                change = np.zeros(len(text) + 1, np.int64)
+                np.add.at(change, before[::2], 1)
+                np.add.at(change, before[1::2], -1)
+                for shard in automata:
+                    for end, n in enumerate(shard.value.matching(text), 1):
+                        if n >= least:
+                            change[end - n] += 1
+                            change[end] -= 1
+                spans.append(np.flatnonzero(np.diff(np.cumsum(change)[:-1] > 0, prepend=False, append=False)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(spans, pa.list_(pa.int64()))], names=["id", "text", "spans"])
+
+    return frame.mapInArrow(trimmed(run), frame.schema)
+
+
 def remove_references(
     documents: DataFrame, references: DataFrame, least: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", reference_column: str = "text"
 ) -> DataFrame:
-    """id, n_words, n_removed, spans (begin, end in words) and kept text, for maximal spans of ``least`` words or more."""
+    """id, n_words, n_removed, spans (begin, end in words) and kept text, for spans of matches of ``least`` words or more.
+
+    Defined results: null texts have no words, in documents and references;
+    references shorter than ``least`` words remove nothing; repeated rows are
+    handled each, and null ids like any other; spans that touch or overlap are
+    one; empty tables on either side leave all as it is; other columns are ignored.
+    """
     spark = documents.sparkSession
     source = references.select(F.col(f"`{reference_column}`").alias("text")).where("text is not null")
-    total = source.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++"))), F.lit(0))).first()[0]
-    if total > MOST_REFERENCE_WORDS:
-        raise ValueError(f"references have {total} words; automata of at most {MOST_REFERENCE_WORDS} are broadcast")
-    shards, held, size = [], [], 0
-    for row in source.toLocalIterator():
-        held.append(row["text"].encode().split())
-        size += len(held[-1])
-        if size >= SHARD_WORDS:
-            shards.append(spark.sparkContext.broadcast(automaton(held)))
-            held, size = [], 0
-    if held:
-        shards.append(spark.sparkContext.broadcast(automaton(held)))
-    slim = documents.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
-    kind = slim.schema["id"].dataType.simpleString()
+    frame = documents.select(
+        F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"), F.array().cast("array<bigint>").alias("spans")
+    )
+    kind = frame.schema["id"].dataType.simpleString()
+    automata: list = []
+    held = 0
+    for shard in _shards(source, least):
+        if held and held + sum(map(len, shard)) > PASS_WORDS:
+            before, frame = frame, materialize(_marked(frame, automata, least), "marked")
+            discard(before)
+            for one in automata:
+                one.destroy()
+            automata, held = [], 0
+        automata.append(spark.sparkContext.broadcast(automaton(shard)))
+        held += sum(map(len, shard))
+    if automata:
+        frame = _marked(frame, automata, least)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             out: list[list] = [[] for _ in range(4)]
-            for text in batch.column("text").to_pylist():
-                text = text.encode().split()
-                gone = np.zeros(len(text) + 1, np.int64)
-                for shard in shards:
-                    for end, n in enumerate(shard.value.matching(text), 1):
-                        if n >= least:
-                            gone[end - n] += 1
-                            gone[end] -= 1
-                gone = np.cumsum(gone)[:-1] > 0
-                edge = np.flatnonzero(np.diff(gone, prepend=False, append=False)).tolist()
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                text = _SPLIT.findall(text.encode())
+                gone = np.zeros(len(text), bool)
+                for a, b in zip(spans[::2], spans[1::2]):
+                    gone[a:b] = True
                 out[0].append(len(text))
                 out[1].append(int(gone.sum()))
-                out[2].append([f"{a}:{b}" for a, b in zip(edge[::2], edge[1::2])])
+                out[2].append([f"{a}:{b}" for a, b in zip(spans[::2], spans[1::2])])
                 out[3].append(b" ".join(compress(text, ~gone)).decode())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.string())],
                 names=["id", "n_words", "n_removed", "spans", "kept_text"],
             )
 
-    return slim.mapInArrow(trimmed(run), f"id {kind}, n_words bigint, n_removed bigint, spans array<string>, kept_text string").withColumnRenamed("id", id_column)
+    return frame.mapInArrow(trimmed(run), f"id {kind}, n_words bigint, n_removed bigint, spans array<string>, kept_text string").withColumnRenamed("id", id_column)
 
 
 # --- the corpus as its own reference -----------------------------------------

@@ -3,7 +3,6 @@ import random
 import re
 
 import pyarrow.parquet as pq
-import pytest
 
 from annalist.llm import substring_dedup as s
 from annalist.llm.queries import QUERIES
@@ -90,6 +89,10 @@ def test_references(spark, monkeypatch):
     got = {r.doc_id: r for r in s.remove_references(docs, refs).collect()}
     assert got[1].kept_text == "a b c" and got[1].spans == ["2:17"] and got[2].kept_text == "" and got[3].n_words == 0
     assert got[4].n_removed == 30 and got[5].n_removed == 0
-    monkeypatch.setattr(s, "MOST_REFERENCE_WORDS", 10)
-    with pytest.raises(ValueError):
-        s.remove_references(docs, refs)
+    # more references than one pass holds, and texts longer than a shard: the same, in several passes
+    monkeypatch.setattr(s, "SHARD_WORDS", 5)
+    monkeypatch.setattr(s, "PASS_WORDS", 20)
+    again = {r.doc_id: r for r in s.remove_references(docs, refs).collect()}
+    assert again == got
+    assert {tuple(r) for r in s.remove_references(docs, refs.limit(0)).select("doc_id", "n_removed").collect()} == {(i, 0) for i in got}
+    assert s.remove_references(docs.limit(0), refs).collect() == []
