@@ -1,14 +1,17 @@
 """The stages one after another, each held against a plain version on its own input."""
 
+import os
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from test_minhash_dedup import brute
 from test_pii import brute as base_spans
 
 import corpus_pipeline
 from annalist.llm import mixing, tokens
-from annalist.session import materialize
+from annalist.llm.queries import QUERIES
+from annalist.session import materialize, scratch, shared_folder
 
 
 @pytest.fixture(scope="module")
@@ -65,6 +68,49 @@ def test_mix_and_pack(spark, steps):
     assert sum(n != 4096 for n in filled.values()) < 13 and all(n & (n - 1) == 0 for n in filled.values())
 
 
+def written(spark):
+    folder = shared_folder(spark).removeprefix("file:").replace("//", "/") + "/annalist"
+    return {f for f in os.listdir(folder) if os.path.isdir(f"{folder}/{f}")} if os.path.isdir(folder) else set()
+
+
 def test_run(spark, sf_dir):
-    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    before = written(spark)
+    with scratch():
+        assert corpus_pipeline.run(spark, sf_dir).count() > 0
+        assert len(written(spark) - before) == 1
+    assert written(spark) == before
     assert mixing.SHARE == 1.5
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_queries_leave_nothing_behind(spark, sf_dir, name):
+    before = written(spark)
+    with scratch():
+        assert QUERIES[name](spark, sf_dir).count() > 0
+    assert written(spark) == before
+
+
+#: Names that operators use for working and result columns.
+CLASHES = (
+    "id row size key band hash h1 h2 place rate sum copies source_size target range rank mix_size _mix_size n n_large cls bands component component_id kept _near_id by node _spread_key "
+    "base spans clean pii_base pii_spans _pii_base lang_pred score bits_per_byte has_letter _lid_pred part queue at ids start length sequence_id offset stands bucket"
+).split()
+
+
+def test_clashing_columns_nulls_repeats_and_empty_tables(spark, sf_dir):
+    """Every stage keeps extra columns of any name, and survives nulls everywhere, ties, repeated rows and no rows at all."""
+    text = "the cat and the dog are with all of our old friends from school today"
+    rows = [(i, f"{text} {i % 7} " * 5, "en", f"s{i % 3}", 10) for i in range(40)] + [(None, None, None, None, None)] * 3 + [(7, "", None, None, 0), (7, f"{text} 0 " * 5, "en", "s1", 3), (8, "x " * 60000, "en", None, 1)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    df = spark.createDataFrame(rows, schema)
+    wide = df.select("*", *[F.lit(f"extra {c}").alias(c) for c in CLASHES])
+    for docs in (wide, wide.limit(0), spark.createDataFrame([(None,) * 5] * 2, schema).select("*", *[F.lit(c).alias(c) for c in CLASHES])):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, docs, sf_dir)
+            if name == "packing":
+                assert got.count() >= docs.count()
+            else:
+                assert got.columns == docs.columns, name
+                found = got.collect()
+                assert all(r[c] == docs.select(c).first()[0] for r in found for c in CLASHES[:3] + CLASHES[-3:])
+                assert len(found) <= 2 * docs.count()
