@@ -118,20 +118,37 @@ class Tree:
         codes = -np.log(np.concatenate(tables))
         codes[:, a] = 0.0
         self.codes = codes.reshape(-1).astype(np.float32)
+        #: The node after the nearest two bytes, the nearest lowest, from which on the walk goes.
+        grid = np.arange(1 << 16)
+        self.after_two = self._walk(self.symbol[np.stack([grid >> 8, grid & 255])], 2) if order >= 2 else None
         #: Nats that a byte of the language's own texts takes.
         self.typical = float((self.at(rows.T) * n).sum() / max(n.sum(), 1)) if len(rows) else 0.0
 
+    def _walk(self, before: np.ndarray, steps: int) -> np.ndarray:
+        """The deepest node of at most so many steps for each column of symbols, the nearest in the last row."""
+        node = np.zeros(before.shape[1], np.int32)
+        for first, link in self.links[:steps]:
+            near, before = before[-1], before[:-1]
+            deep = np.flatnonzero(node >= first)
+            node[deep] = link[node[deep] - first, near[deep]]
+        return node
+
     def at(self, window: np.ndarray) -> np.ndarray:
         """Code length of each symbol in the last row, after those in the rows before it."""
-        node = np.zeros(window.shape[1], np.int32)
-        for d, (first, link) in enumerate(self.links, 1):
-            near = window[self.order - d]
-            if first == 0:
-                node = link[0][near] if d == 1 else link[node, near]
-            else:
-                deep = np.flatnonzero(node >= first)
-                node[deep] = link[node[deep] - first, near[deep]]
-        return self.codes[node.astype(np.int64) * (self.symbols + 1) + window[self.order]]
+        return self.codes[self._walk(window[:-1], self.order).astype(np.int64) * (self.symbols + 1) + window[-1]]
+
+    def along(self, data: np.ndarray, pairs: np.ndarray | None) -> np.ndarray:
+        """Code length of each byte after the first ``order``; ``pairs`` holds the two bytes before each, the nearest lowest."""
+        ids = self.symbol[data]
+        if pairs is None:
+            return self.at(np.lib.stride_tricks.sliding_window_view(ids, len(ids) - self.order))
+        node, n, width = self.after_two[pairs], len(ids) - self.order, self.symbols + 1
+        for d, (first, link) in enumerate(self.links[2:], 3):
+            deep = np.flatnonzero(node >= first)
+            node[deep] = link.reshape(-1)[(node[deep] - first) * width + ids[self.order - d : self.order - d + n][deep]]
+        node *= width
+        node += ids[self.order :]
+        return self.codes[node]
 
 
 class Trees:
@@ -155,10 +172,9 @@ class Trees:
             hi = min(lo + BLOCK, len(data))
             i, j = max(np.searchsorted(begins, lo, "right") - 1, 0), np.searchsorted(begins, hi, "left")
             starts = np.maximum(begins[i:j], lo) - lo
+            pairs = data[lo - 1 : hi - 1].astype(np.uint16) | data[lo - 2 : hi - 2].astype(np.uint16) << 8 if self.order >= 2 else None
             for l, tree in enumerate(self.trees):
-                ids = tree.symbol[data[lo - self.order : hi]]
-                codes = tree.at(np.lib.stride_tricks.sliding_window_view(ids, hi - lo))
-                out[i:j, l] += np.add.reduceat(codes, starts, dtype=np.float64)
+                out[i:j, l] += np.add.reduceat(tree.along(data[lo - self.order : hi], pairs), starts, dtype=np.float64)
         return out
 
 
