@@ -53,8 +53,9 @@ MISS = 1e-6
 #: Bins of the second sketch, and the classes of a component beyond which it is taken.
 FINE_BINS, LARGE = 512, 64
 BATCH_BYTES = 1 << 21
-#: A block's classes and shingles.
+#: A block's classes and shingles; smaller components are cut into up to ``LEAST_BLOCKS`` of at least ``LEAST_ROWS`` classes, for tasks to share.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 21
+LEAST_BLOCKS, LEAST_ROWS = 12, 64
 COLUMNS = 4096
 
 
@@ -281,7 +282,7 @@ def _grouped(slim: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, Da
         together = coarse.join(large.select("cls"), "cls", "left_anti").unionByName(_linked_by_band(fine, "fine").withColumnRenamed("node", "cls"))
     members = materialize(together.join(plain, "cls"), "together")
     sizes = members.groupBy("component").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+        F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.least(F.ceil(F.count("*") / LEAST_ROWS), F.lit(LEAST_BLOCKS))).cast("int").alias("blocks")
     )
     members = materialize(spread(members, sizes, "component").select("cls", "key", "component", "blocks"), "members")
     sets = _sets_of(texts_of(members).select("text"), shingle).dropDuplicates(["cls"]).join(members.select("cls", "component", "blocks"), "cls")
