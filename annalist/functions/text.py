@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN = r"[\p{L}\p{N}]+"
+# A Han character is a token by itself, as Chinese is written without spaces.
+TOKEN = r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased maximal runs of letters and numbers, in order; null stays null."""
+    """Lower-cased maximal runs of letters and numbers, and single Han characters, in order; null stays null."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 

@@ -98,8 +98,8 @@ def bracket_balance(documents: DataFrame) -> DataFrame:
 
 
 def sentence_checks(documents: DataFrame) -> DataFrame:
-    """No final full stop, and lower case after a full stop, per document with either."""
-    return documents.select(
+    """No final full stop, and lower case after a full stop, per document with either; null texts have no findings."""
+    return documents.where("text is not null").select(
         "doc_id", _rule_count("no_final_stop").alias("no_final_stop"), _rule_count("lower_after_stop").alias("n_lower_after_stop")
     ).where("no_final_stop > 0 or n_lower_after_stop > 0")
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.functions.text import tokens
-from annalist.session import materialize
 
 
 def tokenize(documents: DataFrame) -> DataFrame:
@@ -21,90 +22,137 @@ def postings(documents: DataFrame) -> DataFrame:
     return tokenize(documents).groupBy("tok", "doc_id").agg(F.count("*").alias("tf"))
 
 
-def write_index(documents: DataFrame, table_name: str, buckets: int = 64) -> None:
-    """Postings as a table bucketed and sorted by term, so that a lookup prunes to one bucket."""
-    postings(documents).write.bucketBy(buckets, "tok").sortBy("tok").mode("overwrite").saveAsTable(table_name)
+def vocabulary(documents: DataFrame) -> DataFrame:
+    """S3: documents and occurrences of each term, from one count per term and document."""
+    return postings(documents).groupBy("tok").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def vocabulary(documents: DataFrame) -> DataFrame:
-    """S3: documents and occurrences of each term.
+# --- the index ---------------------------------------------------------------
+
+BUCKETS = 64
+
 
-    Terms are made distinct inside each document first, so one shuffle with a
-    map-side combine gives both counts.
+class Index(NamedTuple):
+    """Tables that searches read instead of the texts.
+
+    ``postings`` has a row for each term of a document: its positions, and the
+    document's length. It is partitioned by a hash of the term and sorted by
+    term, so that a search reads the partitions of its terms only, and of these
+    the row groups that may hold them. ``documents`` has what searches report
+    of a document, ``vocabulary`` the counts of each term by length, ``corpus``
+    one row with the number of documents and their mean length.
     """
-    per_doc = documents.select(tokens(F.col("text")).alias("t")).select(
-        F.explode(
-            F.transform(
-                F.array_distinct("t"),
-                lambda w: F.struct(w.alias("tok"), F.lit(1).alias("d")),
-            )
-        ).alias("x")
-    )
-    all_tokens = documents.select(F.explode(tokens(F.col("text"))).alias("tok"))
-    df = per_doc.select("x.tok", F.lit(1).alias("df"), F.lit(0).alias("cf"))
-    cf = all_tokens.select("tok", F.lit(0).alias("df"), F.lit(1).alias("cf"))
-    return df.unionByName(cf).groupBy("tok").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
+    postings: DataFrame
+    documents: DataFrame
+    vocabulary: DataFrame
+    corpus: DataFrame
 
-def boolean_search(documents: DataFrame, required: Sequence[str], excluded: Sequence[str] = ()) -> DataFrame:
-    """Documents with all required terms and no excluded one. A filter; nothing is shuffled."""
-    t = tokens(F.col("text"))
-    keep = F.lit(True)
-    for term in required:
-        keep = keep & F.array_contains(t, term)
-    for term in excluded:
-        keep = keep & ~F.array_contains(t, term)
-    return documents.where(keep).select("doc_id")
 
+def _bucket(tok: Column) -> Column:
+    return F.pmod(F.xxhash64(tok), F.lit(BUCKETS)).cast("int")
 
-def phrase_search(documents: DataFrame, phrase: Sequence[str]) -> DataFrame:
-    """Documents holding the terms in succession, and how often they do.
 
-    The token list is searched in place; no positional self-join is needed.
+def write_index(documents: DataFrame, folder: str) -> Index:
+    """Write the index of documents to a folder that all executors share, and open it.
+
+    Rows are dealt by the term's partition and, within it, by document, so
+    that a term which most documents have is spread over tasks and files.
     """
-    wanted = F.array(*[F.lit(w) for w in phrase])
-    k = len(phrase)
-    # the one-element array binds the token list, so that it is made once and not once per position
-    hits = F.transform(
-        F.array(tokens(F.col("text"))),
-        lambda t: F.size(
-            F.filter(
-                F.sequence(F.lit(1), F.greatest(F.size(t) - k + 1, F.lit(1))),
-                lambda i: (F.try_element_at(t, i) == phrase[0]) & (F.slice(t, i, k) == wanted),
-            )
-        ),
+    spark = documents.sparkSession
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    t = documents.select("doc_id", "lang", "source", tokens(F.col("text")).alias("t"))
+    words = t.select("doc_id", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "tok"))
+    words = words.withColumn("bucket", _bucket(F.col("tok"))).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    rows = (
+        words.repartition(BUCKETS * shards, "bucket", "shard")
+        .groupBy("bucket", "shard", "tok", "doc_id")
+        .agg(F.first("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions"))
     )
-    return documents.where("text is not null").select("doc_id", F.element_at(hits, 1).alias("n_hits")).where("n_hits > 0")
+    rows.select("tok", "doc_id", "dl", "positions", "bucket").sortWithinPartitions("bucket", "tok", "doc_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    t.select("doc_id", "lang", "source", F.coalesce(F.size("t"), F.lit(0)).alias("dl")).write.parquet(f"{folder}/documents")
+    opened = spark.read.parquet(f"{folder}/postings")
+    counts = opened.groupBy("tok").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("cf"))
+    counts.withColumn("n", F.length("tok")).repartitionByRange("n", "tok").sortWithinPartitions("n", "tok").write.parquet(f"{folder}/vocabulary")
+    spark.read.parquet(f"{folder}/documents").agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{folder}/corpus")
+    return open_index(spark, folder)
+
+
+def open_index(spark: SparkSession, folder: str) -> Index:
+    return Index(*[spark.read.parquet(f"{folder}/{name}") for name in Index._fields])
+
+
+def parsed(spark: SparkSession, terms: Sequence[str]) -> list[list[str]]:
+    """The tokens of each term, as documents have them; several, in succession, where a term is a phrase or of Han characters."""
+    if not terms:
+        return []
+    row = spark.sql("select 1").select(F.array(*[tokens(F.lit(t)) for t in terms])).first()
+    return [list(t) for t in row[0]]
+
+
+def _of_terms(index: Index, toks: Sequence[str]) -> DataFrame:
+    """Postings of some terms, from their partitions alone."""
+    spark = index.postings.sparkSession
+    # the numbers of the partitions are worked out first, for the scan to list no others
+    held = spark.sql("select 1").select(F.array(*[_bucket(F.lit(t)) for t in toks])).first()[0] if toks else []
+    return index.postings.where(F.col("bucket").isin(sorted(set(held))) & F.col("tok").isin(sorted(set(toks))))
+
 
+def _hits(index: Index, terms: Sequence[str]) -> tuple[DataFrame, list[list[str]]]:
+    """doc_id, dl and how often each term occurs (``tf0``, ``tf1``, ...) in the documents that hold a token of any.
+
+    One shuffle of the postings of the terms' tokens; those of a document are one row each.
+    """
+    parts = parsed(index.postings.sparkSession, terms)
+    toks = sorted({t for p in parts for t in p})
+    own = {t: F.max(F.when(F.col("tok") == t, F.col("positions"))).alias(f"p{i}") for i, t in enumerate(toks)}
+    rows = _of_terms(index, toks).groupBy("doc_id").agg(F.first("dl").alias("dl"), *own.values())
+
+    def times(phrase: list[str]) -> Column:
+        if not phrase:
+            return F.lit(0)
+        found = F.col(f"p{toks.index(phrase[0])}")
+        for k, tok in enumerate(phrase[1:], 1):
+            found = F.array_intersect(found, F.transform(f"p{toks.index(tok)}", _back(k)))
+        return F.coalesce(F.size(found), F.lit(0))
+
+    return rows.select("doc_id", "dl", *[times(p).alias(f"tf{i}") for i, p in enumerate(parts)]), parts
+
+
+def _back(k: int) -> Callable[[Column], Column]:
+    return lambda x: x - k
+
+
+def boolean_search(index: Index, required: Sequence[str], excluded: Sequence[str] = ()) -> DataFrame:
+    """Documents with all required terms and no excluded one; without required terms, all documents without the excluded."""
+    hits, _ = _hits(index, [*required, *excluded])
+    no = reduce(Column.__or__, [F.col(f"tf{i}") > 0 for i in range(len(required), len(required) + len(excluded))], F.lit(False))
+    if not required:
+        return index.documents.select("doc_id").join(hits.where(no).select("doc_id"), "doc_id", "left_anti")
+    yes = reduce(Column.__and__, [F.col(f"tf{i}") > 0 for i in range(len(required))])
+    return hits.where(yes & ~no).select("doc_id")
 
-def prefix_search(documents: DataFrame, prefix: str) -> DataFrame:
-    """Terms that begin with a prefix, and the documents they occur in."""
-    hit = F.filter(F.array_distinct(tokens(F.col("text"))), lambda w: w.startswith(prefix))
-    return documents.select("doc_id", F.explode(hit).alias("tok"))
 
+def phrase_search(index: Index, phrase: Sequence[str]) -> DataFrame:
+    """Documents holding the terms in succession, and how often they do; a phrase without a token is in none."""
+    hits, _ = _hits(index, [" ".join(phrase)])
+    return hits.select("doc_id", F.col("tf0").alias("n_hits")).where("n_hits > 0")
 
-def ranked_search(documents: DataFrame, terms: Sequence[str], k1: float = 1.2, b: float = 0.75, limit: int = 20) -> DataFrame:
+
+def prefix_search(index: Index, prefix: str) -> DataFrame:
+    """Terms that begin with a prefix, in any case, and the documents they occur in. Reads the row groups in that range of terms."""
+    return index.postings.where(F.col("tok").startswith(prefix.lower())).select("doc_id", "tok")
+
+
+def ranked_search(index: Index, terms: Sequence[str], k1: float = 1.2, b: float = 0.75, limit: int = 20) -> DataFrame:
     """BM25, best ``limit`` documents by score, then doc_id.
 
-    Term frequencies are counted inside the token lists, without a shuffle. The
-    corpus statistics are one row, so the cross join broadcasts a single row.
+    The index has the corpus' statistics in one row, and each term's documents
+    are counted over the hits; both are joined as single rows.
     """
+    hits, _ = _hits(index, terms)
     names = [f"tf{i}" for i in range(len(terms))]
-    found = lambda t, term: F.size(F.filter(t, lambda w: w == F.lit(term)))
-    bound = F.array(F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")))
-    # one row per document out of a generator: the token list is made once, and no filter is moved below it;
-    # counts go to the shared folder, as they are read twice and the texts should be read once
-    counted = materialize(
-        documents.select(
-            "doc_id", F.inline(F.transform(bound, lambda t: F.struct(F.size(t).alias("dl"), *[found(t, w).alias(n) for w, n in zip(terms, names, strict=True)])))
-        ),
-        "counted",
-    )
-    stats = counted.agg(
-        F.count("*").cast("double").alias("n"),
-        F.avg("dl").alias("avgdl"),
-        *[F.count(F.when(F.col(n) > 0, 1)).cast("double").alias(f"d{n}") for n in names],
-    )
+    found = hits.agg(*[F.count(F.when(F.col(n) > 0, 1)).cast("double").alias(f"d{n}") for n in names])
     score = sum(
         (
             F.log(F.lit(1.0) + (F.col("n") - F.col(f"d{n}") + 0.5) / (F.col(f"d{n}") + 0.5))
@@ -115,8 +163,9 @@ def ranked_search(documents: DataFrame, terms: Sequence[str], k1: float = 1.2, b
         F.lit(0.0),
     )
     return (
-        counted.where(" or ".join(f"{n} > 0" for n in names))
-        .crossJoin(F.broadcast(stats))
+        hits.where(reduce(Column.__or__, [F.col(n) > 0 for n in names], F.lit(False)))
+        .crossJoin(F.broadcast(found))
+        .crossJoin(F.broadcast(index.corpus.limit(1)))
         .select("doc_id", F.round(score, 6).alias("score"))
         .orderBy(F.desc("score"), "doc_id")
         .limit(limit)
@@ -124,17 +173,20 @@ def ranked_search(documents: DataFrame, terms: Sequence[str], k1: float = 1.2, b
 
 
 def keyword_in_context(documents: DataFrame, term: str, width: int = 20) -> DataFrame:
-    """The first hit of a term as written, with up to ``width`` characters on each side."""
-    hit = rf"(?s)(.{{0,{width}}}\b{term}\b.{{0,{width}}})"
-    return (
-        documents.where(F.col("text").rlike(rf"\b{term}\b"))
-        .select("doc_id", F.regexp_extract("text", hit, 1).alias("context"))
+    """The first hit of a term, in any case, as written, with up to ``width`` characters on each side."""
+    edge = lambda c: r"\b" if c.isascii() and (c.isalnum() or c == "_") else ""
+    # what is not a letter, number or underscore may mean something in a pattern
+    literal = "".join(c if c.isalnum() or c == "_" else f"\\x{{{ord(c):x}}}" for c in term)
+    hit = f"{edge(term[:1])}{literal}{edge(term[-1:])}" if term else r"[^\s\S]"
+    return documents.where(F.col("text").rlike(f"(?i){hit}")).select(
+        "doc_id", F.regexp_extract("text", f"(?is)(.{{0,{width}}}{hit}.{{0,{width}}})", 1).alias("context")
     )
 
 
-def facets(documents: DataFrame, term: str) -> DataFrame:
+def facets(index: Index, term: str) -> DataFrame:
     """How many documents with a term there are per language and source."""
-    return documents.where(F.array_contains(tokens(F.col("text")), term)).groupBy("lang", "source").agg(F.count("*").alias("n_hits"))
+    hits, _ = _hits(index, [term])
+    return index.documents.join(hits.where("tf0 > 0").select("doc_id"), "doc_id", "left_semi").groupBy("lang", "source").agg(F.count("*").alias("n_hits"))
 
 
 def bigram_index(documents: DataFrame) -> DataFrame:
@@ -144,12 +196,11 @@ def bigram_index(documents: DataFrame) -> DataFrame:
     return documents.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
 
 
-def fuzzy_term(documents: DataFrame, term: str, distance: int = 1) -> DataFrame:
-    """Vocabulary terms within an edit distance of a query term."""
-    n = len(term)
+def fuzzy_term(index: Index, term: str, distance: int = 1) -> DataFrame:
+    """Vocabulary terms within an edit distance of a query term, in any case, from the row groups of its lengths."""
+    term = term.lower()
     return (
-        vocabulary(documents)
-        .where(F.length("tok").between(n - distance, n + distance))
+        index.vocabulary.where(F.col("n").between(len(term) - distance, len(term) + distance))
         .where(F.levenshtein(F.col("tok"), F.lit(term), distance).between(0, distance))
         .select("tok", "df", "cf")
     )

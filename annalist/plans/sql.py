@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 _TOKENS = """
-t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents),
+t AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '(\\p{Han})', ' \\1 ', 'g'), '[\\p{L}\\p{N}]+') AS t FROM documents),
 tok AS (SELECT doc_id, unnest(t) AS tok, CAST(unnest(range(len(t))) AS INT) AS pos FROM t)"""
 
 _LINES = "lines AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '')"
@@ -49,7 +49,7 @@ SQL = {
         df AS (SELECT tok, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY tok)
         SELECT doc_id, round(sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
         FROM tf JOIN df USING (tok) JOIN dl USING (doc_id) CROSS JOIN stats GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""",
-    "s8_keyword_in_context": r"SELECT doc_id, regexp_extract(text, '(?s)(.{0,20}\bthat\b.{0,20})', 1) AS context FROM documents WHERE regexp_matches(text, '\bthat\b')",
+    "s8_keyword_in_context": r"SELECT doc_id, regexp_extract(text, '(?is)(.{0,20}\bthat\b.{0,20})', 1) AS context FROM documents WHERE regexp_matches(text, '(?i)\bthat\b')",
     "s9_facets": f"WITH {_TOKENS} SELECT lang, source, count(*) AS n_hits FROM documents JOIN t USING (doc_id) WHERE list_contains(t, 'that') GROUP BY lang, source",
     "s10_char_bigrams": r"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS r FROM documents),
         g AS (SELECT DISTINCT doc_id, substring(r, CAST(i AS INT), 2) AS gram FROM (SELECT doc_id, r, unnest(range(1, length(r))) AS i FROM r))
@@ -67,7 +67,7 @@ SQL = {
     "c5_recurring_lines": f"WITH {_LINES} SELECT line, count(DISTINCT doc_id) AS n_docs FROM lines GROUP BY line HAVING count(DISTINCT doc_id) >= 5",
     "c6_repeated_punctuation": f"SELECT doc_id, {_count(_PUNCT)} AS n FROM documents WHERE {_count(_PUNCT)} > 0",
     "c7_bracket_balance": f"SELECT doc_id, {_OPEN} AS n_open, {_CLOSE} AS n_close FROM documents",
-    "c8_sentence_checks": f"SELECT * FROM (SELECT doc_id, CAST({_NO_STOP} AS INT) AS no_final_stop, {_count(_LOWER)} AS n_lower_after_stop FROM documents) WHERE no_final_stop > 0 OR n_lower_after_stop > 0",
+    "c8_sentence_checks": f"SELECT * FROM (SELECT doc_id, CAST({_NO_STOP} AS INT) AS no_final_stop, {_count(_LOWER)} AS n_lower_after_stop FROM documents WHERE text IS NOT NULL) WHERE no_final_stop > 0 OR n_lower_after_stop > 0",
     "c9_digit_in_word": f"SELECT doc_id, {_count(_DIGIT)} AS n FROM documents WHERE {_count(_DIGIT)} > 0",
     "c10_proof_report": f"""WITH {_TOKENS}, {_LINES}, rep AS ({_REPEATS}),
         f AS (SELECT doc_id, 'repeated_words' AS rule, CAST(count(*) AS INT) AS n FROM rep GROUP BY doc_id

@@ -87,6 +87,14 @@ def scratch() -> Iterator[Scratch]:
         discard(*own.frames)
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which is deleted when the application ends."""
+    path = f"{shared_folder(spark)}/annalist/{name}-{uuid.uuid4().hex}"
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a frame to the shared folder as Parquet and read it back.
 
@@ -94,10 +102,8 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     and the shuffle files behind the frame go once the write has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/annalist/{name}-{uuid.uuid4().hex}"
+    path = own_folder(spark, name)
     same = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(_writer(spark), df._jdf.queryExecution().analyzed())
-    place, files = _place(spark, path)
-    files.deleteOnExit(place)
     same.write().option("compression", "zstd").parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written._annalist_path = path
