@@ -2,8 +2,9 @@
 
 Objects are found by scanning, so damaged cross-reference tables do no harm;
 object streams are opened. Understood are Flate (with predictors), ASCIIHex and
-ASCII85 streams, and text in fonts with a ToUnicode map or a Latin encoding.
-Encrypted files are refused.
+ASCII85 streams, and text in fonts with a ToUnicode map, one of the predefined
+maps for Chinese, Japanese and Korean, or a Latin encoding. Encrypted files are
+refused, and so is the text of a composite font whose codes nothing maps.
 """
 
 from __future__ import annotations
@@ -37,6 +38,15 @@ _REF = re.compile(rb"(\d+)[\x00\t\n\x0c\r ]+(\d+)[\x00\t\n\x0c\r ]+R(?![^\x00\t\
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
+# Predefined character maps of composite fonts, without the direction at their end, and Python's names of their codes.
+CMAPS = {
+    "GB-EUC": "gb2312", "GBK-EUC": "gbk", "GBKp-EUC": "gbk", "GBK2K": "gb18030", "UniGB-UCS2": "utf-16-be", "UniGB-UTF16": "utf-16-be",
+    "B5pc": "big5", "ETen-B5": "big5", "ETenms-B5": "cp950", "HKscs-B5": "big5hkscs", "UniCNS-UCS2": "utf-16-be", "UniCNS-UTF16": "utf-16-be",
+    "83pv-RKSJ": "cp932", "90ms-RKSJ": "cp932", "90msp-RKSJ": "cp932", "90pv-RKSJ": "cp932", "EUC": "euc_jp", "UniJIS-UCS2": "utf-16-be", "UniJIS-UTF16": "utf-16-be",
+    "KSC-EUC": "euc_kr", "KSCms-UHC": "cp949", "KSCpc-EUC": "euc_kr", "UniKS-UCS2": "utf-16-be", "UniKS-UTF16": "utf-16-be",
+}
+
+
 class _Reader:
     """Objects one after another from bytes."""
 
@@ -295,7 +305,13 @@ class Pdf:
     def _decoder(self, font):
         cmap = self.get((font or {}).get("ToUnicode")) if isinstance(font, dict) else None
         if not isinstance(cmap, Stream):
-            return _latin
+            if not isinstance(font, dict) or font.get("Subtype") != "Type0":
+                return _latin
+            name = self.get(font.get("Encoding"))
+            codec = CMAPS.get(re.sub(r"-[HV]$", "", name)) if isinstance(name, Name) else None
+            if codec is None:
+                raise PdfError(f"font without a map to Unicode: {name if isinstance(name, Name) else 'its own encoding'}")
+            return lambda s: s.decode(codec, "replace")
         table, width = {}, 1
         text = self.decoded(cmap)
         chars = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
@@ -378,3 +394,30 @@ def write_pages(parts: list[tuple[Pdf, list[dict]]]) -> bytes:
     out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(bodies) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places)
     out += b"trailer\n<</Size %d /Root 1 0 R>>\nstartxref\n%d\n%%%%EOF\n" % (len(bodies) + 1, table)
     return bytes(out)
+
+
+def text_pdf(text: str, lines: int = 60) -> bytes:
+    """A text as a PDF file, so many lines to a page, in a composite font of the reader's machine; nothing is wrapped."""
+    rows = text.split("\n")
+    objects = [
+        b"<</Type /Catalog /Pages 2 0 R>>",
+        b"",
+        b"<</Type /Font /Subtype /Type0 /BaseFont /STSong-Light /Encoding /UniGB-UTF16-H /DescendantFonts [4 0 R]>>",
+        b"<</Type /Font /Subtype /CIDFontType0 /BaseFont /STSong-Light /CIDSystemInfo <</Registry (Adobe) /Ordering (GB1) /Supplement 5>> /FontDescriptor 5 0 R>>",
+        b"<</Type /FontDescriptor /FontName /STSong-Light /Flags 6 /FontBBox [-25 -254 1000 880] /ItalicAngle 0 /Ascent 880 /Descent -120 /CapHeight 880 /StemV 93>>",
+    ]
+    pages = []
+    for a in range(0, len(rows), lines):
+        shown = [b"<" + r.encode("utf-16-be", "surrogatepass").hex().encode() + b"> Tj" for r in rows[a : a + lines]]
+        data = zlib.compress(b"BT /F1 10 Tf 12 TL 50 780 Td " + b" T* ".join(shown) + b" ET")
+        pages.append(b"%d 0 R" % (len(objects) + 1))
+        objects.append(b"<</Type /Page /Parent 2 0 R /Contents %d 0 R>>" % (len(objects) + 2))
+        objects.append(b"<</Length %d /Filter /FlateDecode>>\nstream\n%s\nendstream" % (len(data), data))
+    objects[1] = b"<</Type /Pages /Count %d /Kids [%s] /Resources <</Font <</F1 3 0 R>>>> /MediaBox [0 0 595 842]>>" % (len(pages), b" ".join(pages))
+    out, places = bytearray(b"%PDF-1.5\n"), []
+    for n, o in enumerate(objects, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, o)
+    table = b"".join(b"%010d 00000 n \n" % at for at in places)
+    out += b"xref\n0 %d\n0000000000 65535 f \n%strailer <</Size %d /Root 1 0 R>>\nstartxref\n%d\n%%%%EOF\n" % (len(places) + 1, table, len(places) + 1, len(out))
+    return bytes(out)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from annalist.functions.pdf import Pdf, write_pages
+from annalist.functions.pdf import Pdf, text_pdf, write_pages
 
 
 def _per_file(files: DataFrame, rows_of: Callable[[bytes], list[dict]], schema: str, id_column: str, content_column: str) -> DataFrame:
@@ -42,6 +42,22 @@ def pdf_pages(files: DataFrame, id_column: str = "path", content_column: str = "
     return _per_file(files, rows, "page int, text string", id_column, content_column)
 
 
+def texts_to_pdf(documents: DataFrame, lines: int = 60, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``id`` and content of a PDF file for each text, some lines to a page; null texts have no file."""
+    slim = documents.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text")).where("text is not null")
+    kind = slim.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                content = text_pdf(batch.column("text")[i].as_py(), lines)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, 1), pa.array([content], pa.binary())], names=["id", "content"])
+
+    return slim.mapInArrow(run, f"id {kind}, content binary").withColumnRenamed("id", id_column)
+
+
 def split_pdf(files: DataFrame, pages_per_part: int = 1, id_column: str = "path", content_column: str = "content") -> DataFrame:
     """One row per part, from 1, with its first page, number of pages and new content."""
 

@@ -35,10 +35,10 @@ BUCKETS = 64
 class Index(NamedTuple):
     """Tables that searches read instead of the texts.
 
-    ``postings`` has a row for each term of a document: its positions, and the
+    ``postings`` has a row for each token: its document and position, and the
     document's length. It is partitioned by a hash of the term and sorted by
-    term, so that a search reads the partitions of its terms only, and of these
-    the row groups that may hold them. ``documents`` has what searches report
+    term, document and position, so that it packs well and a search reads the
+    partitions of its terms only, and of these the row groups that may hold them. ``documents`` has what searches report
     of a document, ``vocabulary`` the counts of each term by length, ``corpus``
     one row with the number of documents and their mean length.
     """
@@ -64,15 +64,11 @@ def write_index(documents: DataFrame, folder: str) -> Index:
     t = documents.select("doc_id", "lang", "source", tokens(F.col("text")).alias("t"))
     words = t.select("doc_id", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "tok"))
     words = words.withColumn("bucket", _bucket(F.col("tok"))).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    rows = (
-        words.repartition(BUCKETS * shards, "bucket", "shard")
-        .groupBy("bucket", "shard", "tok", "doc_id")
-        .agg(F.first("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    )
-    rows.select("tok", "doc_id", "dl", "positions", "bucket").sortWithinPartitions("bucket", "tok", "doc_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    rows = words.repartition(BUCKETS * shards, "bucket", "shard").select("tok", "doc_id", "pos", "dl", "bucket")
+    rows.sortWithinPartitions("bucket", "tok", "doc_id", "pos").write.partitionBy("bucket").parquet(f"{folder}/postings")
     t.select("doc_id", "lang", "source", F.coalesce(F.size("t"), F.lit(0)).alias("dl")).write.parquet(f"{folder}/documents")
     opened = spark.read.parquet(f"{folder}/postings")
-    counts = opened.groupBy("tok").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("cf"))
+    counts = opened.groupBy("tok", "doc_id").agg(F.count("*").alias("tf")).groupBy("tok").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     counts.withColumn("n", F.length("tok")).repartitionByRange("n", "tok").sortWithinPartitions("n", "tok").write.parquet(f"{folder}/vocabulary")
     spark.read.parquet(f"{folder}/documents").agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{folder}/corpus")
     return open_index(spark, folder)
@@ -105,16 +101,18 @@ def _hits(index: Index, terms: Sequence[str]) -> tuple[DataFrame, list[list[str]
     """
     parts = parsed(index.postings.sparkSession, terms)
     toks = sorted({t for p in parts for t in p})
-    own = {t: F.max(F.when(F.col("tok") == t, F.col("positions"))).alias(f"p{i}") for i, t in enumerate(toks)}
-    rows = _of_terms(index, toks).groupBy("doc_id").agg(F.first("dl").alias("dl"), *own.values())
+    in_phrase = sorted({t for p in parts if len(p) > 1 for t in p})
+    counts = [F.count(F.when(F.col("tok") == t, 1)).cast("int").alias(f"n{i}") for i, t in enumerate(toks)]
+    places = [F.collect_list(F.when(F.col("tok") == t, F.col("pos"))).alias(f"p{i}") for i, t in enumerate(in_phrase)]
+    rows = _of_terms(index, toks).groupBy("doc_id").agg(F.first("dl").alias("dl"), *counts, *places)
 
     def times(phrase: list[str]) -> Column:
-        if not phrase:
-            return F.lit(0)
-        found = F.col(f"p{toks.index(phrase[0])}")
+        if len(phrase) < 2:
+            return F.col(f"n{toks.index(phrase[0])}") if phrase else F.lit(0)
+        found = F.col(f"p{in_phrase.index(phrase[0])}")
         for k, tok in enumerate(phrase[1:], 1):
-            found = F.array_intersect(found, F.transform(f"p{toks.index(tok)}", _back(k)))
-        return F.coalesce(F.size(found), F.lit(0))
+            found = F.array_intersect(found, F.transform(f"p{in_phrase.index(tok)}", _back(k)))
+        return F.size(found)
 
     return rows.select("doc_id", "dl", *[times(p).alias(f"tf{i}") for i, p in enumerate(parts)]), parts
 
@@ -141,7 +139,7 @@ def phrase_search(index: Index, phrase: Sequence[str]) -> DataFrame:
 
 def prefix_search(index: Index, prefix: str) -> DataFrame:
     """Terms that begin with a prefix, in any case, and the documents they occur in. Reads the row groups in that range of terms."""
-    return index.postings.where(F.col("tok").startswith(prefix.lower())).select("doc_id", "tok")
+    return index.postings.where(F.col("tok").startswith(prefix.lower())).select("doc_id", "tok").distinct()
 
 
 def ranked_search(index: Index, terms: Sequence[str], k1: float = 1.2, b: float = 0.75, limit: int = 20) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from annalist.operators import organise, proofread, search
+from annalist.operators import organise, pdf, proofread, search
 from annalist.session import own_folder
 from annalist.sources.files import file_manifest
 from annalist.sources.tables import table
@@ -37,6 +37,7 @@ QUERIES = {
     "p3_page_metadata": _pages(organise.page_metadata),
     "p4_exact_duplicates": _docs(organise.exact_duplicates),
     "p5_archive_inventory": _docs(organise.archive_inventory),
+    "p6_pdf_pages": lambda spark, sf_dir: pdf.pdf_pages(pdf.texts_to_pdf(table(spark, sf_dir, "documents")), id_column="doc_id"),
     "s1_tokenize": _docs(search.tokenize),
     "s2_postings": _docs(search.postings),
     "s3_vocabulary": _docs(search.vocabulary),

@@ -37,6 +37,9 @@ SQL = {
         regexp_extract(html, '(?i)<html[^>]*\blang="([^"]*)"', 1) AS html_lang, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages""",
     "p4_exact_duplicates": "SELECT sha256(text) AS text_sha256, min(doc_id) AS kept_doc_id, count(*) AS n_copies FROM documents WHERE text IS NOT NULL GROUP BY sha256(text) HAVING count(*) > 1",
     "p5_archive_inventory": "SELECT source, lang, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_characters FROM documents GROUP BY source, lang",
+    "p6_pdf_pages": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+        n AS (SELECT doc_id, i, CAST(i // 60 + 1 AS INT) AS page, trim(regexp_replace(line, '[ \t]+', ' ', 'g')) AS line FROM l)
+        SELECT doc_id, page, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE line <> ''), '') AS text, CAST(NULL AS VARCHAR) AS error FROM n GROUP BY doc_id, page""",
     "s1_tokenize": f"WITH {_TOKENS} SELECT doc_id, pos, tok FROM tok",
     "s2_postings": f"WITH {_TOKENS} SELECT tok, doc_id, count(*) AS tf FROM tok GROUP BY tok, doc_id",
     "s3_vocabulary": f"WITH {_TOKENS} SELECT tok, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tok GROUP BY tok",

@@ -6,21 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Leading bytes (hex) of the file kinds told apart.
-MAGIC = {
-    "pdf": "255044462D",
-    "png": "89504E470D0A1A0A",
-    "jpeg": "FFD8FF",
-    "tiff": "49492A00",
-    "zip": "504B0304",
-    "parquet": "50415231",
-}
+MAGIC = (
+    ("pdf", "255044462D"),
+    ("png", "89504E470D0A1A0A"),
+    ("jpeg", "FFD8FF"),
+    ("tiff", "49492A00"),
+    ("tiff", "4D4D002A"),
+    ("zip", "504B0304"),
+    ("parquet", "50415231"),
+)
 
 
 def sniffed_kind(content: Column) -> Column:
     """The kind a file's first bytes tell; ``other`` where none fits."""
     head = F.hex(F.substring(content, 1, 8))
     kind = F.lit("other")
-    for name, magic in MAGIC.items():
+    for name, magic in MAGIC:
         kind = F.when(head.startswith(magic), name).otherwise(kind)
     return kind
 

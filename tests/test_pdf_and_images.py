@@ -7,7 +7,7 @@ import pytest
 
 from annalist.functions import images
 from annalist.functions.pdf import Pdf, PdfError
-from annalist.operators.pdf import merge_pdf, pdf_pages, split_pdf
+from annalist.operators.pdf import merge_pdf, pdf_pages, split_pdf, texts_to_pdf
 from annalist.operators.recognise import recognize
 
 
@@ -55,6 +55,29 @@ def test_pages_split_and_merge(spark, flate, objstm):
     assert merged["h"].content is None and "not a PDF" in merged["h"].error
 
 
+def composite(encoding, shown):
+    pdf = b"%PDF-1.4\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj 2 0 obj <</Kids[3 0 R]>> endobj 3 0 obj <</Contents 4 0 R/Resources<</Font<</F 5 0 R>>>>>> endobj\n"
+    data = b"BT /F 9 Tf <" + shown.hex().encode() + b"> Tj ET"
+    return pdf + b"4 0 obj <</Length %d>> stream\n%s\nendstream endobj 5 0 obj <</Subtype /Type0 /Encoding %s>> endobj" % (len(data), data, encoding)
+
+
+def test_predefined_maps_of_composite_fonts(spark):
+    for name, codec in ((b"GBK-EUC-H", "gbk"), (b"UniGB-UTF16-V", "utf-16-be"), (b"ETen-B5-H", "big5"), (b"90ms-RKSJ-H", "cp932")):
+        p = Pdf(composite(b"/" + name, "地方志".encode(codec, "replace")))
+        assert p.page_text(p.pages[0]) == "地方志".encode(codec, "replace").decode(codec)
+    files = spark.createDataFrame([("a", composite(b"/Identity-H", b"\x00\x01")), ("b", composite(b"/GBK-EUC-H", "地方志".encode("gbk")))], "path string, content binary")
+    got = {r.path: r for r in pdf_pages(files).collect()}
+    assert "Identity-H" in got["a"].error and got["a"].text is None and got["b"].text == "地方志" and got["b"].error is None
+
+
+def test_texts_to_pdf_and_back(spark):
+    texts = ["", "one", "地方志 é 😀\n\n  two   words\t\nlast", "\n".join(f"line {i}" for i in range(130))]
+    df = spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id int, text string")
+    pages = {(r.doc_id, r.page): r.text for r in pdf_pages(texts_to_pdf(df), id_column="doc_id").collect()}
+    assert pages[0, 1] == "" and pages[1, 1] == "one" and pages[2, 1] == "地方志 é 😀\ntwo words\nlast" and not any(k[0] == 9 for k in pages)
+    assert [pages[3, p].count("line") for p in (1, 2, 3)] == [60, 60, 10] and len(pages) == 6
+
+
 def test_unicode_map_kerning_and_refusals():
     cmap = b"1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfrange <0001> <0002> <5730> endbfrange 1 beginbfchar <0003> <65b9> endbfchar"
     data = b"BT /F Tf [<0001> -500 <0003>] TJ ET"
