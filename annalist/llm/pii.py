@@ -8,9 +8,9 @@ posteriors train the final span classifier, a naive Bayes over what the
 labelers do not look at: character classes, their changes, length, distinct
 characters, and neighbours. A span's score is the classifier's odds together
 with those of the votes at their estimated reliabilities; spans that score
-above zero are added, and no rule stands beside the score. In it a labeler that
-says nothing counts for nothing: where a corpus names all its secrets, a bare
-one is no less a secret. Base spans stay, and added ones overlap neither them nor
+above zero are added, and no rule stands beside the score. A labeler that says
+nothing counts for nothing: where a corpus names all its secrets, a bare one
+is no less a secret. Base spans stay, and added ones overlap neither them nor
 each other.
 
 Spans come from splitting a text at a pattern: lengths of the pieces between
@@ -51,7 +51,7 @@ OCTETS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1
 # Runs of the base64, base64url and JWT alphabets; two dots part them, and "=" is
 # only padding, so that a name and its value are two runs.
 CANDIDATE = (
-    r"(?<![A-Za-z0-9_/+-])(?<![A-Za-z0-9_/+-]\.)(?=[A-Za-z0-9_/+.-]{16})(?=(?:[A-Za-z_/+-]++|\.(?!\.))*+[0-9])"
+    r"(?<![A-Za-z0-9_/+-])(?<![A-Za-z0-9_/+-]\.)(?=[A-Za-z0-9_/+.-]{16})(?=(?:[A-Za-z_/+-]++|\.(?!\.))*+[0-9]|AKIA)"
     r"[/+]*+[A-Za-z0-9_-]++(?:(?:[/+]++|\.(?!\.))[A-Za-z0-9_-]++)*+[/+]*+(?:={1,2}+(?![\"']?[A-Za-z0-9_/+=-]))?+"
 )
 # Formats that secrets have and little else.
@@ -222,36 +222,38 @@ LABELERS = 3
 MOST_PATTERNS = 3 * 2 * 2 * 5 * 5 * 4 * 5 * 4 * 3 * 3 * 3
 #: Share of the features' odds that counts, as they tell much of the same.
 TEMPER = 0.5
+#: How often each labeler is taken to be right before anything is seen, which weighs as much as all its votes, and the most it is trusted.
+RIGHT, MOST_RIGHT = (0.98, 0.85, 0.85), 0.995
+#: Probability of a candidate on which no labeler votes.
+SILENT = 0.02
 #: Weight of what all candidates have in a feature, in counts, against what a class has.
 POOLED = 2.0
 
 
-def vote_reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, list[dict[tuple[int, int], float]], dict]:
-    """EM over vote patterns: the share of spans, P(vote | class) per labeler, and each pattern's posterior.
+def _logit(p: float) -> float:
+    return math.log(p / (1 - p))
 
-    Starts from the votes' sum, counts are smoothed by one, the rounds are
-    fixed, so reruns agree.
+
+def vote_reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[list[float], dict[tuple[int, ...], float]]:
+    """EM over vote patterns: how often each labeler is right where it votes, and each pattern's posterior.
+
+    Odds are even before the votes, a labeler that says nothing adds nothing to
+    them, and where none says anything the posterior is ``SILENT``; how common
+    spans are is the classifier's to learn. Starts from the votes' sum; the
+    rounds are fixed, so reruns agree.
     """
     labelers = len(next(iter(patterns), (0,) * LABELERS))
-    posterior = {v: 1 / (1 + math.exp(-(2.0 * sum(v) if any(v) else -3.0))) for v in patterns}
-    share, tables = 0.5, []
+    posterior = {v: 1 / (1 + math.exp(-2.0 * sum(v))) if any(v) else SILENT for v in patterns}
+    right = list(RIGHT[:labelers])
     for _ in range(rounds):
-        total = sum(patterns.values())
-        yes = sum(n * posterior[v] for v, n in patterns.items())
-        share = (yes + 1) / (total + 2)
-        tables = []
         for k in range(labelers):
-            table = {}
-            for side, mass in ((1, yes), (0, total - yes)):
-                for vote in (-1, 0, 1):
-                    hit = sum(n * (posterior[v] if side else 1 - posterior[v]) for v, n in patterns.items() if v[k] == vote)
-                    # a labeler is taken to be better than chance: two more counts on its own side, next to none on the other
-                    table[side, vote] = (hit + (2.0 if vote == (1 if side else -1) else 0.05 if vote else 0.95)) / (mass + 3.0)
-            tables.append(table)
+            own = [(n, posterior[v] if v[k] > 0 else 1 - posterior[v]) for v, n in patterns.items() if v[k]]
+            if own:
+                right[k] = min(MOST_RIGHT, (sum(n * p for n, p in own) / sum(n for n, _ in own) + RIGHT[k]) / 2)
         for v in patterns:
-            odds = math.log(share / (1 - share)) + sum(math.log(t[1, x] / t[0, x]) for t, x in zip(tables, v, strict=True))
-            posterior[v] = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
-    return share, tables, posterior
+            if any(v):
+                posterior[v] = 1 / (1 + math.exp(-sum(x * _logit(r) for x, r in zip(v, right, strict=True))))
+    return right, posterior
 
 
 def _candidates(text: Column, kind: str = "secret") -> Column:
@@ -264,7 +266,7 @@ def _trained(rows: list[tuple], kind: str) -> dict:
     patterns: dict[tuple[int, ...], int] = {}
     for r in rows:
         patterns[r[:LABELERS]] = patterns.get(r[:LABELERS], 0) + r[-1]
-    share, tables, posterior = vote_reliabilities(patterns)
+    right, posterior = vote_reliabilities(patterns)
     total = sum(r[-1] for r in rows)
     yes = sum(r[-1] * posterior[r[:LABELERS]] for r in rows)
     no = total - yes
@@ -278,8 +280,8 @@ def _trained(rows: list[tuple], kind: str) -> dict:
             pooled = POOLED * (a + b) / max(total, 1)
             weights.append(TEMPER * (math.log((a + pooled) / (yes + POOLED)) - math.log((b + pooled) / (no + POOLED))) if a + b else 0.0)
         features.append(weights)
-    votes = [{x: math.log(t[1, x] / t[0, x]) if x else 0.0 for x in (-1, 0, 1)} for t in tables]
-    return {"intercept": math.log(share / (1 - share)), "votes": votes, "features": features}
+    votes = [{x: x * _logit(r) for x in (-1, 0, 1)} for r in right]
+    return {"intercept": math.log((yes + SILENT) / (no + 1 - SILENT)), "votes": votes, "features": features}
 
 
 def fit(documents: DataFrame, text_column: str = "text") -> dict:
