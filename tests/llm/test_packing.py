@@ -154,3 +154,47 @@ def test_every_full_sequence_mirrors_the_corpus(spark):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), tokens.vocabulary_path("word_bpe_49k.json")).collect() == []
+
+
+def test_query_against_the_library(spark, sf_dir):
+    """Every id of every document lies in exactly one piece, sequences are gapless, and full but for powers of two at the end; sources are mixed in each."""
+    import zlib
+    from collections import Counter, defaultdict
+
+    import pyarrow.parquet as pq
+
+    from annalist.llm import tokens
+    from annalist.llm.queries import QUERIES
+
+    plain = tokens.load(tokens.vocabulary_path("word_bpe_49k.json"))
+    t = pq.read_table(f"{sf_dir}/documents.parquet", columns=["doc_id", "text", "source"]).to_pydict()
+    ids = {i: [*plain.encode(x or "", add_special_tokens=False).ids, 2] for i, x in zip(t["doc_id"], t["text"])}
+    source = dict(zip(t["doc_id"], t["source"]))
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in QUERIES["op4_packing"](spark, sf_dir).collect():
+        own = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.length == len(own) > 0 and r.doc_tokens == len(ids[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in own))
+        pieces[r.doc_id].append((r.start, r.length))
+        sequences[r.sequence_id].append((r.offset, r.length, source[r.doc_id]))
+    assert set(pieces) == set(ids)
+    for i, own in pieces.items():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, [*own[1:], (len(ids[i]), 0)]))
+    total = Counter()
+    for i, x in ids.items():
+        total[source[i]] += len(x)
+    share = {k: n / sum(total.values()) for k, n in total.items()}
+    sizes = []
+    for own in sequences.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n, _), (b, _, _) in zip(own, own[1:]))
+        sizes.append(sum(n for _, n, _ in own))
+        if sizes[-1] == 4096:
+            held = Counter()
+            for _, n, k in own:
+                held[k] += n
+            # within a token or two of the corpus' proportions in every full sequence
+            assert all(abs(held[k] - 4096 * share[k]) <= 2 for k in share)
+    rest = sorted(n for n in sizes if n != 4096)
+    assert rest == [1 << k for k in range(12) if sum(sizes) >> k & 1]

@@ -44,5 +44,10 @@ def test_batches():
     assert all(sum(sizes[a:b]) <= 10 or b - a == 1 for a, b in parts) and list(tokens.batches_by_bytes([], 5)) == []
 
 
-def test_query_covers_all(spark, sf_dir):
-    assert QUERIES["op5_token_counts"](spark, sf_dir).count() == pq.read_table(f"{sf_dir}/documents.parquet").num_rows
+def test_query_equals_the_library(spark, sf_dir):
+    plain = tokens.load(tokens.vocabulary_path("byte_bpe_50k.json"))
+    texts = dict(zip(*pq.read_table(f"{sf_dir}/documents.parquet", columns=["doc_id", "text"]).to_pydict().values()))
+    want = {i: (len((t or "").encode()), len(plain.encode(t or "", add_special_tokens=False).ids)) for i, t in texts.items()}
+    rows = QUERIES["op5_token_counts"](spark, sf_dir).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in rows} == want and len(rows) == len(want)
+    assert all(r.over_limit == (r.n_tokens > 1024) for r in rows)
